@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorlake.llm.arrow import mapper, texts
@@ -149,9 +149,9 @@ def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -> Dat
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step), "doc_id bigint, lang_pred string, score double")
 
 
-def held_out(doc_id=F.col("doc_id")):
+def held_out() -> Column:
     """Whether a document is kept out of learning: crc32 of its id as text leaves 2 modulo 4. A null id isn't."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def language_id(docs: DataFrame) -> DataFrame:
