@@ -55,7 +55,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case, other characters as they are; lower() does that faster where all are ASCII."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def words(text: Column) -> Column:

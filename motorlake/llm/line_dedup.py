@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motorlake.llm.common import WHITE, ascii_lower, let, text_hash
+from motorlake.llm.common import WHITE, ascii_lower, let, stored, text_hash
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -25,15 +25,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(WHITE)))
-
-
 def candidate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, pos, h1, h2): a row for each line whose key is long enough; 128 bits of hash."""
     lines = docs.select("doc_id", text_hash(F.col("text")).alias("text_key"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    keyed = lines.select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key"))
-    return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "text_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    long = lines.select("doc_id", "text_key", "pos", F.btrim("line", F.lit(WHITE)).alias("line")).where(F.char_length("line") >= min_chars)
+    keyed = long.select("doc_id", "text_key", "pos", ascii_lower(F.col("line")).alias("key"))
+    return keyed.select("doc_id", "text_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 def hot_hashes(candidates: DataFrame) -> list[int]:
@@ -49,7 +46,7 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     word; bit i of word w stands for line 64 w + i. Lines without a bit are kept.
     """
     spark = docs.sparkSession
-    candidates = candidate_lines(docs, min_chars)
+    candidates = stored(candidate_lines(docs, min_chars), "line-hashes")  # the texts are read and cut once
     hot = hot_hashes(candidates)
     ways = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     deal = F.when(F.col("h1").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(ways)).cast("int")) if hot else F.lit(None).cast("int")
