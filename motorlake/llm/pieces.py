@@ -40,7 +40,12 @@ class DoubleArray:
         size = 1 << 16
         base, check, value = [0] * size, [-1] * size, [-1] * size
         check[0] = 0
-        free_from = 1
+        free_from = crowded_to = 257  # so that every byte finds a base of 0 or more
+
+        def grow() -> None:
+            for a, fill in ((base, 0), (check, -1), (value, -1)):
+                a.extend([fill] * len(a))
+
         todo = [(0, 0, len(keys), 0)]  # node, range of keys below it, depth
         while todo:
             node, low, high, depth = todo.pop()
@@ -59,14 +64,17 @@ class DoubleArray:
             while check[free_from] != -1:
                 free_from += 1
                 if free_from + 600 > len(base):
-                    for a, fill in ((base, 0), (check, -1), (value, -1)):
-                        a.extend([fill] * len(a))
-            offset = max(0, free_from - children[0][0] - 1)
+                    grow()
+            # a lone child takes the first free cell; siblings are sought from where the search last got long
+            start = free_from if len(children) == 1 else max(free_from, crowded_to)
+            offset, tried = max(0, start - children[0][0] - 1), 0
             while any(check[offset + c + 1] != -1 for c, _, _ in children):
                 offset += 1
+                tried += 1
                 if offset + 600 > len(base):
-                    for a, fill in ((base, 0), (check, -1), (value, -1)):
-                        a.extend([fill] * len(a))
+                    grow()
+            if tried > 64:
+                crowded_to = offset + children[0][0] + 1
             base[node] = offset
             for c, start, end in children:
                 check[offset + c + 1] = node
