@@ -8,9 +8,8 @@ with the smallest sum wins.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,50 +18,79 @@ from pyspark.sql import functions as F
 
 from motorlake.llm.arrow import mapper, texts
 
-#: n-grams of 1 to so many characters of words that are padded by a space on either side.
-MAX_N = 3
 #: Length of a language's profile, and of a document's.
 PROFILE = 400
 #: The profiles are fitted on about so many labelled documents of each language, chosen by a hash of doc_id.
 TRAINING_DOCS = 5_000
 UNDETERMINED = "und"
+#: Characters counted at once; a longer text is cut at white space where there is any near.
+CHUNK = 1 << 18
+SPACE = 32
 
-WORD = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 200_000
-KEPT_GRAMS = 60_000
 
+@cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
-def grams(word: str, max_n: int = MAX_N) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(1, max_n + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
+
+def _chunks(text: str) -> list[str]:
+    parts, at = [], 0
+    while at < len(text):
+        end = at + CHUNK
+        if end < len(text):
+            near = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            end = near + 1 if near > end - 1000 else end
+        parts.append(text[at:end])
+        at = end
+    return parts
+
+
+def _codes(text: str) -> np.ndarray:
+    """The n-grams of 1 to 3 characters of a text's words in lower case, padded by a space on either side; 21 bits for each character."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    seen = np.where(_letters()[points], points, SPACE)
+    seen = np.concatenate(([SPACE], seen, [SPACE]))
+    seen = seen[np.concatenate(([True], (seen[1:] != SPACE) | (seen[:-1] != SPACE)))]
+    pairs = seen[:-1] << 21 | seen[1:]
+    triples = (pairs[:-1] << 21 | seen[2:])[seen[1:-1] != SPACE]
+    return np.concatenate((seen[seen != SPACE], pairs, triples)) if len(seen) > 1 else seen[:0]
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a whole text, ascending, and how often each occurs."""
+    found = [np.unique(_codes(part), return_counts=True) for part in _chunks(text)]
+    return merged(found) if len(found) != 1 else found[0]
+
+
+def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, places = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(places, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over the whole texts of (lang, text); summed within each batch before the shuffle."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by_lang: dict[str, Counter] = {}
+        by_lang: dict[str, list] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
-            by_lang.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        rows = []
-        for lang, seen in by_lang.items():
-            total: Counter = Counter()
-            for word, n in seen.items():
-                for gram in grams(word):
-                    total[gram] += n
-            rows += [(lang, gram, n) for gram, n in total.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["lang", "gram", "n"])
+            by_lang.setdefault(lang, []).append(grams(text))
+        totals = {lang: merged(found) for lang, found in by_lang.items()}
+        names = [lang for lang, (codes, _) in totals.items() for _ in range(len(codes))]
+        columns = [np.concatenate([np.zeros(0, np.int64), *(t[i] for t in totals.values())]) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, columns)], ["lang", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(mapper(step), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(mapper(step), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class Profiles:
-    """langs in ascending order; ranks[gram] holds each language's rank, PROFILE where it lacks the gram."""
+    """langs in ascending order; grams ascending; ranks has a row for each gram with its rank in each language, PROFILE where that lacks it."""
 
     langs: list[str]
-    ranks: dict[str, tuple[int, ...]]
+    grams: np.ndarray
+    ranks: np.ndarray
 
 
 def fit_profiles(labelled: DataFrame, training_docs: int = TRAINING_DOCS, profile: int = PROFILE) -> Profiles:
@@ -74,61 +102,25 @@ def fit_profiles(labelled: DataFrame, training_docs: int = TRAINING_DOCS, profil
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = gram_counts(chosen).withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < profile).collect()  # PROFILE rows for each language
     langs = sorted({r["lang"] for r in top})
-    ranks: dict[str, list[int]] = {}
+    known = np.unique(np.array([r["gram"] for r in top], np.int64))
+    ranks = np.full((len(known), len(langs)), profile, np.int64)
     for r in top:
-        ranks.setdefault(r["gram"], [profile] * len(langs))[langs.index(r["lang"])] = r["rank"]
-    return Profiles(langs, {gram: tuple(x) for gram, x in sorted(ranks.items())})
-
-
-class Ranker:
-    """Counts a text's n-grams word by word, with those of frequent words kept as numbers."""
-
-    def __init__(self, profiles: Profiles, profile: int) -> None:
-        self.profiles, self.profile = profiles, profile
-        self.clear()
-
-    def clear(self) -> None:
-        self.names = list(self.profiles.ranks)
-        self.number = {gram: i for i, gram in enumerate(self.names)}
-        self.of_word: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        if (found := self.of_word.get(word)) is None:
-            numbers = []
-            for gram in grams(word):
-                if gram not in self.number:
-                    self.number[gram] = len(self.names)
-                    self.names.append(gram)
-                numbers.append(self.number[gram])
-            found = self.of_word[word] = np.array(numbers, np.int64)
-        return found
-
-    def predict(self, text: str) -> tuple[str, float]:
-        words = WORD.findall(text.lower())
-        if not words or not self.profiles.langs:
-            return UNDETERMINED, 0.0
-        if len(self.of_word) > KEPT_WORDS or len(self.names) > KEPT_GRAMS:
-            self.clear()
-        counts = np.bincount(np.concatenate([self.word(w) for w in words]))
-        present = np.flatnonzero(counts)
-        known = len(self.profiles.ranks)
-        # by count, then by the n-gram itself, so that the order doesn't depend on what was seen before
-        if len(present) > self.profile:
-            least = np.partition(counts[present], len(present) - self.profile)[len(present) - self.profile]
-            present = present[counts[present] >= least]
-        ordered = sorted(present.tolist(), key=lambda g: (-counts[g], self.names[g]))[: self.profile]
-        places = np.array([(i, g) for i, g in enumerate(ordered) if g < known], np.int64).reshape(-1, 2)
-        missing = (len(ordered) - len(places)) * self.profile
-        ranks = self.matrix[places[:, 1]]
-        far = np.where(ranks == self.profile, self.profile, np.abs(ranks - places[:, :1])).sum(axis=0) + missing
-        best = int(np.argmin(far))
-        return self.profiles.langs[best], float(1 - far[best] / (self.profile * len(ordered)))
-
-    @property
-    def matrix(self) -> np.ndarray:
-        if not hasattr(self, "_matrix"):
-            self._matrix = np.array(list(self.profiles.ranks.values()), np.int64).reshape(-1, len(self.profiles.langs))
-        return self._matrix
+        ranks[np.searchsorted(known, r["gram"]), langs.index(r["lang"])] = r["rank"]
+    return Profiles(langs, known, ranks)
+
+
+def predict(text: str, profiles: Profiles, profile: int = PROFILE) -> tuple[str, float]:
+    """The language and the score of a text; of equally frequent n-grams the one with the smaller code ranks first."""
+    codes, counts = grams(text)
+    if not len(codes) or not profiles.langs:
+        return UNDETERMINED, 0.0
+    own = codes[np.argsort(-counts, kind="stable")[:profile]]
+    places = np.minimum(np.searchsorted(profiles.grams, own), len(profiles.grams) - 1)
+    found = profiles.grams[places] == own
+    ranks = profiles.ranks[places[found]]
+    far = np.where(ranks == profile, profile, np.abs(ranks - np.flatnonzero(found)[:, None])).sum(axis=0) + profile * int((~found).sum())
+    best = int(np.argmin(far))
+    return profiles.langs[best], float(1 - far[best] / (profile * len(own)))
 
 
 def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -> DataFrame:
@@ -138,12 +130,8 @@ def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -> Dat
     letter, or nothing was learned. score is 1 minus the distance as a share of the largest
     possible one; ties go to the first language in order. Repeated rows get equal results.
     """
-    rankers: list[Ranker] = []
-
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not rankers:
-            rankers.append(Ranker(profiles, profile))
-        found = [rankers[0].predict(t) for t in texts(batch)]
+        found = [predict(t, profiles, profile) for t in texts(batch)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step), "doc_id bigint, lang_pred string, score double")
