@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from motorlake.plans import market_queries  # noqa: F401
+from motorlake.plans import market_queries, text_queries  # noqa: F401
