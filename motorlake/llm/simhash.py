@@ -30,9 +30,11 @@ SEED = 42
 MAX_BITS = 2
 #: The tree is built on so many fingerprints at most.
 SAMPLE = 8192
-#: Fingerprints that a leaf should hold, and from how many on (visitors counted) it is split by bit blocks.
+#: Fingerprints that should be at home in a leaf, and from how many on it is split by bit blocks.
 LEAF = 512
 DENSE = 4096
+#: Rows of a split leaf that one group takes.
+GROUP_ROWS = 1 << 16
 #: Vantage fingerprints tried at each node of the tree.
 TRIED = 12
 #: A node isn't split if a larger share than this would visit the other side.
@@ -155,6 +157,15 @@ def _shard_links(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": nodes[found], "v": nodes[label][found]})
 
 
+def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """The links of each run of rows with the same key."""
+    group = group.sort_values("key", kind="stable")
+    keys = group["key"].to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    runs = [_shard_links(group.iloc[a:b]) for a, b in zip(starts, starts[1:], strict=False) if b - a > 1]
+    return pd.concat([pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)}), *runs])
+
+
 def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, leaf: int = LEAF, dense: int = DENSE) -> DataFrame:
     """(u, v) links between nodes (node, fp; distinct fp) that join exactly what lies within ``max_bits``; a spanning forest of each shard, not all pairs."""
     total = nodes.count()
@@ -169,14 +180,15 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE,
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "leaf bigint, node bigint, fp bigint, home boolean")
     dealt = stored(dealt, "vantage-leaves")
-    full = [r["leaf"] for r in dealt.groupBy("leaf").count().where(F.col("count") > dense).collect()]  # leaves, not fingerprints
-    links = dealt.where(~F.col("leaf").isin(full)).groupBy("leaf").applyInPandas(_shard_links, "u bigint, v bigint")
+    full = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("own")).where(F.col("own") > dense).collect()}  # leaves, not fingerprints
+    links = dealt.where(~F.col("leaf").isin([*full])).groupBy("leaf").applyInPandas(_shard_links, "u bigint, v bigint")
     if full:  # two fingerprints that differ in 2 bits agree in all bits of 4 of the 6 blocks
         edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
         masks = [sum(1 << b for k in keep for b in range(edges[k], edges[k + 1])) for keep in combinations(range(BLOCKS), BLOCKS - max_bits)]
         signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-        shards = dealt.where(F.col("leaf").isin(full)).select("leaf", "node", "fp", "home", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
-        links = links.unionByName(shards.groupBy("leaf", "mask", "key").applyInPandas(lambda shard: _shard_links(shard[["node", "fp", "home"]]), "u bigint, v bigint"))
+        shards = dealt.where(F.col("leaf").isin([*full])).select("leaf", "node", "fp", "home", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
+        ways = -(-max(full.values()) // GROUP_ROWS)
+        links = links.unionByName(shards.groupBy("leaf", "mask", F.pmod(F.xxhash64("key"), F.lit(ways)).alias("way")).applyInPandas(_block_links, "u bigint, v bigint"))
     return links
 
 
