@@ -22,9 +22,9 @@ SIMILARITY = 0.8
 #: Items of fewer words don't identify a text.
 MIN_WORDS = 5
 #: Random walks, samples of each, and places in a sample.
-WALKS = 6
-SAMPLES = 8
-PLACES = 5
+WALKS = 8
+SAMPLES = 12
+PLACES = 3
 #: Benchmark text handled in one pass over the documents, in characters; more takes more passes.
 PASS_CHARS = 16 << 20
 #: Windows embedded at once.
@@ -42,8 +42,8 @@ def allowed(length: int, similarity: float = SIMILARITY) -> int:
 
 
 def window_length(length: int) -> int:
-    """Items of nearly equal length share windows: the exact length up to 32 words, then steps of a 16th."""
-    step = max(1, 1 << max(0, length.bit_length() - 5))
+    """Items of nearly equal length share windows: the exact length up to 15 words, then steps of an 8th."""
+    step = 1 << max(0, length.bit_length() - 4)
     return length // step * step
 
 
@@ -97,13 +97,13 @@ class Items:
             known = np.zeros(self.unknown + 2, bool)
             known[member_words.ravel()] = True
             samples = [[np.sort(chance.choice(2 * length, min(PLACES, 2 * length), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-            least = length - max(self.allowed[n] for n in members)
+            spare = np.array([self.allowed[n] for n in members])
             flat, starts = member_words.ravel(), np.arange(len(members)) * length
             tables = []
             for keys in self.keys(flat, starts, length, samples):
                 order = np.argsort(keys, kind="stable")
                 tables.append((keys[order], np.array(members)[order]))
-            self.classes.append((length, known, least, samples, tables))
+            self.classes.append((length, known, member_words, spare, samples, tables))
 
     def keys(self, symbols: np.ndarray, starts: np.ndarray, length: int, samples: list) -> list[np.ndarray]:
         """The sample keys of the embedded windows: SAMPLES arrays for each walk."""
@@ -125,15 +125,33 @@ class Items:
             out += list(keys)
         return out
 
+    def windows(self, symbols: np.ndarray, frequency: np.ndarray, length: int, known: np.ndarray, member_words: np.ndarray, spare: np.ndarray) -> np.ndarray:
+        """Starts of the windows that can be close enough to an item; no other window is.
+
+        Of any k + 1 words of an item at least one is left by k edits, so a window holds one
+        of each item's rarest k + 1 words here; and it holds all but k words of an item.
+        """
+        rarest = np.argsort(frequency[member_words], axis=1, kind="stable")[:, : spare.max() + 1]
+        picked = np.take_along_axis(member_words, rarest, axis=1)[np.arange(rarest.shape[1]) <= spare[:, None]]
+        anchor = np.zeros(len(known), bool)
+        anchor[picked] = True
+        at, last = np.flatnonzero(anchor[symbols]), max(0, len(symbols) - length)
+        if not len(at):
+            return at
+        if len(at) * length < len(symbols):
+            starts = np.unique(np.clip(at[:, None] - np.arange(length), 0, last))
+        else:
+            anchors = np.concatenate(([0], np.cumsum(anchor[symbols], dtype=np.int32)))
+            starts = np.arange(last + 1)
+            starts = starts[anchors[np.minimum(starts + length, len(symbols))] > anchors[starts]]
+        seen = np.concatenate(([0], np.cumsum(known[symbols], dtype=np.int32)))
+        return starts[seen[np.minimum(starts + length, len(symbols))] - seen[starts] >= length - spare.max()]
+
     def candidates(self, symbols: np.ndarray):
-        """(starts, items) of windows that meet an item in a table."""
-        for length, known, least, samples, tables in self.classes:
-            if len(symbols) < least:
-                continue
-            # a window that is close enough to an item has at least this many of the items' words
-            seen = np.concatenate(([0], np.cumsum(known[symbols], dtype=np.int32)))
-            size = min(length, len(symbols))
-            starts = np.flatnonzero(seen[size:] - seen[:-size] >= least)
+        """(start, item) of windows that meet an item in a table."""
+        frequency = np.bincount(symbols, minlength=self.unknown + 2)
+        for length, known, member_words, spare, samples, tables in self.classes:
+            starts = self.windows(symbols, frequency, length, known, member_words, spare)
             for at in range(0, len(starts), CHUNK):
                 part = starts[at : at + CHUNK]
                 found = []
@@ -160,12 +178,12 @@ class Items:
         for (document, n), starts in sorted(regions.items()):
             size, k = len(self.words[n]), self.allowed[n]
             best = (size + 1, 0)
-            low = high = -1
+            low = high = None
             for start in [*sorted(starts), None]:
-                if start is not None and low >= 0 and start - k <= high:
+                if start is not None and low is not None and start - k <= high:
                     high = max(high, start + size + k)
                     continue
-                if low >= 0:
+                if low is not None:
                     first, last = max(low, int(bounds[document])), min(high, int(bounds[document + 1]) - 1)
                     distance, end = edits(self.bits[n], size, symbols[first:last].tolist())
                     best = min(best, (distance, first + end - int(bounds[document])))
