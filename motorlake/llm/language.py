@@ -109,11 +109,13 @@ def fit_profiles(labelled: DataFrame, training_docs: int = TRAINING_DOCS, profil
     return Profiles(langs, known, ranks)
 
 
-def predict(text: str, profiles: Profiles, profile: int = PROFILE) -> tuple[str, float]:
-    """The language and the score of a text; of equally frequent n-grams the one with the smaller code ranks first."""
+def predict(text: str, profiles: Profiles, profile: int = PROFILE) -> tuple[str | None, float]:
+    """The language and the score of a text; of equally frequent n-grams the one with the smaller code ranks first. No language where no profile was learned."""
     codes, counts = grams(text)
-    if not len(codes) or not profiles.langs:
+    if not len(codes):
         return UNDETERMINED, 0.0
+    if not profiles.langs:
+        return None, 0.0
     own = codes[np.argsort(-counts, kind="stable")[:profile]]
     places = np.minimum(np.searchsorted(profiles.grams, own), len(profiles.grams) - 1)
     found = profiles.grams[places] == own
@@ -127,7 +129,7 @@ def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -> Dat
     """doc_id, lang_pred, score for each row of ``docs`` (doc_id, text); nothing else is read.
 
     lang_pred is a language of the profiles, or ``und`` if the text is null or has no
-    letter, or nothing was learned. score is 1 minus the distance as a share of the largest
+    letter; null if nothing was learned, so that no such text counts as rejected. score is 1 minus the distance as a share of the largest
     possible one; ties go to the first language in order. Repeated rows get equal results.
     """
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

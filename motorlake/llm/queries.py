@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motorlake.llm import decontaminate, flat_tokens, html_blocks, language, orc_tokens, pieces, secrets, simhash
 from motorlake.llm.common import table
 from motorlake.llm.line_dedup import line_dedup
+from motorlake.llm.oracle import ORACLE_SQL  # noqa: F401  read by the entry
 from motorlake.llm.quality import quality
 from motorlake.llm.vocabulary import tokenizer_file
 
@@ -77,4 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_line_dedup, op2_secret_scans, op3_language_id, op4_token_counts, op5_quality_rules, op6_sentencepiece, op7_simhash, op8_token_orc, op9_html_extraction, op10_decontamination)
 }
 
-ORACLE_SQL: dict[str, str] = {}

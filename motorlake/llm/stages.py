@@ -1,4 +1,9 @@
-"""The operators as stages of a corpus pipeline: each takes and returns the rows of ``documents``."""
+"""The operators as stages of a corpus pipeline: each takes and returns the rows of ``documents``.
+
+Rows with the same doc_id are one document and go together, null ids too: a filtering
+stage drops them all if it drops one of them. Columns that aren't named here pass
+through, whatever their names and nulls. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
