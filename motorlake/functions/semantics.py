@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,8 @@ def whole_number(text: Column, most_digits: int = 18) -> Column:
     """The digits of a dirty number as bigint; null if there are none or too many."""
     digits = F.regexp_replace(text, "[^0-9]", "")
     return F.when(F.length(digits).between(1, most_digits), digits.try_cast("bigint"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value to a name, so that it stands once in the plan however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
