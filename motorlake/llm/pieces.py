@@ -159,15 +159,15 @@ class Codec:
         if not text:
             return np.zeros(0, np.int32)
         words = SEGMENT.findall(MARK + text.replace(" ", MARK))
-        new = set(words) - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = set(words)
         known = self.kept
+        new = {w for w in words if w not in known}  # a difference with the dict's keys would walk through all of them
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+            new = set(words)
         known.update((w, self.viterbi(w)) for w in new if len(w) <= KEPT_CHARS)
-        if len(known) < len(new) or any(len(w) > KEPT_CHARS for w in new):
-            known = known | {w: self.viterbi(w) for w in new if len(w) > KEPT_CHARS}
-        return np.array(list(chain.from_iterable(map(known.__getitem__, words))), np.int32)
+        long = {w: self.viterbi(w) for w in new if len(w) > KEPT_CHARS}
+        found = (known[w] if w in known else long[w] for w in words) if long else map(known.__getitem__, words)
+        return np.array(list(chain.from_iterable(found)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: markers become spaces, the one in front goes, byte pieces are put together as UTF-8."""
