@@ -36,20 +36,17 @@ class WordEncoder:
     def encode(self, text: bytes, end: int | None = None) -> np.ndarray:
         """uint32 ids of a whole text in UTF-8; ``end`` is put after them."""
         words = text.split()
-        new = set(words) - self.kept.keys()
-        long = {w for w in new if len(w) > KEPT_BYTES}
         known = self.kept
-        if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = set(words)
-                long = {w for w in new if len(w) > KEPT_BYTES}
-            short = list(new - long)
+        new = {w for w in words if w not in known}  # a difference with the dict's keys would walk through all of them
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+            new = set(words)
+        short, long = [w for w in new if len(w) <= KEPT_BYTES], [w for w in new if len(w) > KEPT_BYTES]
+        if short:
             known.update(zip(short, self._encode(short), strict=True))
-            if long:
-                own = list(long)
-                known = known | dict(zip(own, self._encode(own), strict=True))
-        ids = list(chain.from_iterable(map(known.__getitem__, words)))
+        own = dict(zip(long, self._encode(long), strict=True)) if long else {}
+        found = (known[w] if w in known else own[w] for w in words) if long else map(known.__getitem__, words)
+        ids = list(chain.from_iterable(found))
         if end is not None:
             ids.append(end)
         return np.array(ids, dtype=np.uint32)
