@@ -2,7 +2,9 @@
 
 Windows of an item's length are embedded by the CGK random walk, which turns edits
 into few differing places; samples of places are keys of hash tables that hold the
-items. What meets in a table is verified by the exact edit distance in words.
+items. A long item is cut into sections of nearly equal length: of all its edits, one
+section holds no more than its share, so recall doesn't fall with the item's length.
+What meets in a table is verified by the exact edit distance in words of the whole item.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from motorlake.llm.arrow import mapper, texts
 SIMILARITY = 0.8
 #: Items of fewer words don't identify a text.
 MIN_WORDS = 5
+#: Words in a section of an item at most.
+SECTION_WORDS = 40
 #: Random walks, samples of each, and places in a sample.
 WALKS = 8
 SAMPLES = 12
@@ -42,11 +46,18 @@ def allowed(length: int, similarity: float = SIMILARITY) -> int:
 
 
 def window_length(length: int) -> int:
-    """Items of nearly equal length share windows: the exact length up to 15 words, then steps of an 8th."""
+    """Sections of nearly equal length share windows: the exact length up to 15 words, then steps of an 8th."""
     step = 1 << max(0, length.bit_length() - 4)
     return length // step * step
 
 
+def sections(length: int, most: int | None = None) -> list[tuple[int, int]]:
+    """(offset, length) of the sections of an item, SECTION_WORDS long at most; their lengths differ by one at most."""
+    n = -(-length // (most or SECTION_WORDS))
+    bounds = [i * length // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def edits(item: dict[int, int], length: int, region: list[int]) -> tuple[int, int]:
     """(distance, end): the fewest edits that turn an item into a part of ``region``, and where the first such part ends.
 
@@ -69,7 +80,7 @@ def edits(item: dict[int, int], length: int, region: list[int]) -> tuple[int, in
 
 
 class Items:
-    """Benchmark items in hash tables, one set of tables for each window length."""
+    """The sections of benchmark items in hash tables, one set of tables for each window length."""
 
     def __init__(self, rows: list[tuple[int, str | None]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, seed: int = 11) -> None:
         kept = [(i, w) for i, w in ((i, item_words(t)) for i, t in rows) if len(w) >= min_words]
@@ -84,20 +95,25 @@ class Items:
             for place, w in enumerate(ws.tolist()):
                 bits[w] |= 1 << place
             self.bits.append(dict(bits))
+        self.sections: list[tuple[int, int]] = []  # item, offset
+        shares: list[int] = []
         by_length: dict[int, list[int]] = defaultdict(list)
         for n, ws in enumerate(self.words):
-            by_length[window_length(len(ws))].append(n)
+            for offset, size in sections(len(ws)):
+                by_length[window_length(size)].append(len(self.sections))
+                self.sections.append((n, offset))
+                shares.append(allowed(size, similarity))
         chance = np.random.default_rng(seed)
         longest = 2 * max(by_length, default=1)
         self.odd = chance.integers(1, 1 << 63, (WALKS, longest), np.uint64) | np.uint64(1)
         self.mix = chance.integers(1, 1 << 63, PLACES, np.uint64) | np.uint64(1)
         self.classes = []
         for length, members in sorted(by_length.items()):
-            member_words = np.stack([self.words[n][:length] for n in members])
+            member_words = np.stack([self.words[n][offset : offset + length] for n, offset in (self.sections[m] for m in members)])
             known = np.zeros(self.unknown + 2, bool)
             known[member_words.ravel()] = True
             samples = [[np.sort(chance.choice(2 * length, min(PLACES, 2 * length), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-            spare = np.array([self.allowed[n] for n in members])
+            spare = np.array([shares[m] for m in members])
             flat, starts = member_words.ravel(), np.arange(len(members)) * length
             tables = []
             for keys in self.keys(flat, starts, length, samples):
@@ -126,10 +142,10 @@ class Items:
         return out
 
     def windows(self, symbols: np.ndarray, frequency: np.ndarray, length: int, known: np.ndarray, member_words: np.ndarray, spare: np.ndarray) -> np.ndarray:
-        """Starts of the windows that can be close enough to an item; no other window is.
+        """Starts of the windows that can be close enough to a section; no other window is.
 
-        Of any k + 1 words of an item at least one is left by k edits, so a window holds one
-        of each item's rarest k + 1 words here; and it holds all but k words of an item.
+        Of any k + 1 words of a section at least one is left by k edits, so a window holds one
+        of each section's rarest k + 1 words here; and it holds all but k words of a section.
         """
         rarest = np.argsort(frequency[member_words], axis=1, kind="stable")[:, : spare.max() + 1]
         picked = np.take_along_axis(member_words, rarest, axis=1)[np.arange(rarest.shape[1]) <= spare[:, None]]
@@ -148,7 +164,7 @@ class Items:
         return starts[seen[np.minimum(starts + length, len(symbols))] - seen[starts] >= length - spare.max()]
 
     def candidates(self, symbols: np.ndarray):
-        """(start, item) of windows that meet an item in a table."""
+        """(start, section) of windows that meet a section in a table."""
         frequency = np.bincount(symbols, minlength=self.unknown + 2)
         for length, known, member_words, spare, samples, tables in self.classes:
             starts = self.windows(symbols, frequency, length, known, member_words, spare)
@@ -171,24 +187,26 @@ class Items:
             bounds.append(len(symbols))
         symbols, bounds = np.array(symbols, np.int64), np.array(bounds)
         regions: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for start, n in self.candidates(symbols):
+        for start, section in self.candidates(symbols):
             document = int(np.searchsorted(bounds, start, "right")) - 1
-            regions[document, n].append(start)
+            n, offset = self.sections[section]
+            regions[document, n].append(start - offset)
         out = []
         for (document, n), starts in sorted(regions.items()):
             size, k = len(self.words[n]), self.allowed[n]
+            slack = k if size <= SECTION_WORDS else 2 * k  # the words before a section may be edited too
             best = (size + 1, 0)
             low = high = None
-            for start in [*sorted(starts), None]:
-                if start is not None and low is not None and start - k <= high:
-                    high = max(high, start + size + k)
+            for start in [*sorted(set(starts)), None]:
+                if start is not None and low is not None and start - slack <= high:
+                    high = max(high, start + size + slack)
                     continue
                 if low is not None:
                     first, last = max(low, int(bounds[document])), min(high, int(bounds[document + 1]) - 1)
                     distance, end = edits(self.bits[n], size, symbols[first:last].tolist())
                     best = min(best, (distance, first + end - int(bounds[document])))
                 if start is not None:
-                    low, high = start - k, start + size + k
+                    low, high = start - slack, start + size + slack
             if best[0] <= k:
                 out.append((document, n, *best))
         return out

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from motorlake.llm.decontaminate import Items, allowed, edits, item_words, leaks, window_length
+from motorlake.llm.decontaminate import Items, allowed, edits, item_words, leaks, sections, window_length
 
 WORDS = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 300
 
@@ -98,3 +98,30 @@ def test_corpus_against_every_pair(spark, corpus, small):
                 if plain_edits(item, words) <= allowed(len(item)):
                     want.add((r["doc_id"], i))
     assert {(r["doc_id"], r["item_id"]) for r in leaks(corpus, bench).collect()} == want
+
+
+@pytest.mark.parametrize("size", [120, 480, 1000])
+def test_recall_of_long_items(size):
+    chance = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    rows = [(i, " ".join(chance.choice(vocabulary) for _ in range(size))) for i in range(12)]
+    documents = []
+    for i, text in rows:
+        words = item_words(text)
+        if i % 3:
+            for _ in range(allowed(size)):
+                at = chance.randrange(len(words))
+                words[at : at + 1] = [[], [chance.choice(vocabulary)], [words[at], chance.choice(vocabulary)]][chance.randrange(3)]
+        else:  # every section has its share
+            words[2::5] = ["other"] * len(words[2::5])
+        documents.append([chance.choice(vocabulary) for _ in range(60)] + words + [chance.choice(vocabulary) for _ in range(60)])
+    found = {(d, n): e for d, n, e, _ in Items(rows).search(documents)}
+    assert sorted(found) == [(i, i) for i in range(12)]
+    assert max(found.values()) <= allowed(size)
+    assert found[0, 0] == plain_edits(item_words(rows[0][1]), documents[0])
+
+
+def test_sections():
+    assert sections(40) == [(0, 40)] and sections(41) == [(0, 20), (20, 21)]
+    for length in (5, 39, 100, 1001):
+        assert [p for a, n in sections(length) for p in range(a, a + n)] == list(range(length))
