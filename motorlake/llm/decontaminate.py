@@ -185,6 +185,7 @@ class Items:
             symbols += [get(w, unknown) for w in words]
             symbols.append(pad)  # between documents
             bounds.append(len(symbols))
+        symbols += [pad] * max((length for length, *_ in self.classes), default=0)  # so that a window can start at every word
         symbols, bounds = np.array(symbols, np.int64), np.array(bounds)
         regions: dict[tuple[int, int], list[int]] = defaultdict(list)
         for start, section in self.candidates(symbols):

@@ -125,3 +125,12 @@ def test_sections():
     assert sections(40) == [(0, 40)] and sections(41) == [(0, 20), (20, 21)]
     for length in (5, 39, 100, 1001):
         assert [p for a, n in sections(length) for p in range(a, a + n)] == list(range(length))
+
+
+def test_shortened_item_at_the_end():
+    item = [f"w{i}" for i in range(12)]
+    items = Items([(0, " ".join(item))])
+    short = item[:4] + item[5:9] + item[10:]
+    for before in ([], [["other"] * 30], [short, ["other"]]):
+        found = [(d, e) for d, _, e, _ in items.search([*before, short])]
+        assert found[-1:] == [(len(before), 2)]
