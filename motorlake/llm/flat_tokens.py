@@ -1,15 +1,18 @@
 """Token counts of flat, unindexed token files by a scan for end-of-document ids.
 
 A file is little-endian 32-bit ids, one document after the other, each closed by the
-end id. There is no index: blocks of a file are searched as arrays, independently of
-each other; a prefix scan over a small row for each block stitches documents that
+end id. There is no index: blocks of a file are read by their byte ranges and searched
+as arrays, independently of each other; a prefix scan over a small row for each block stitches documents that
 cross block boundaries and numbers them.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +26,19 @@ END_ID = 0x00010001
 BLOCK_IDS = 1 << 18
 #: Documents in a file of write_flat_tokens().
 FILE_DOCS = 10_000
+#: Bytes that a file of write_flat_tokens() should have at most: so many that ranges of doc_id are cut finer for it.
+FILE_BYTES = 256 << 20
+#: Bytes of blocks that one task should search.
+TASK_BYTES = 64 << 20
 
 
 def write_flat_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_docs: int = FILE_DOCS) -> None:
     """Flat files in ascending order of doc_id (then text).
 
     Spark's text writer puts the bytes of a row and a separator into the file; the
-    separator is the end id, so its four bytes have to be ASCII.
+    separator is the end id, so its four bytes have to be ASCII. There are so many
+    ranges that a file has FILE_BYTES at most on average, taking a token for each byte of
+    text; FILE_DOCS bounds it too. Readers don't depend on a file's size.
     """
     separator = end_id.to_bytes(4, "little").decode("ascii")
 
@@ -37,27 +46,48 @@ def write_flat_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         enc = encoder(tokenizer)
         return pa.RecordBatch.from_arrays([pa.array([enc.encode(t).astype("<u4").tobytes() for t in text_bytes(batch)], pa.binary())], ["ids"])
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ways = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * size // FILE_BYTES))
+    ranged = docs.select("doc_id", "text").repartitionByRange(ways, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = ranged.mapInArrow(mapper(step), "ids binary").select(F.col("ids").cast("string").alias("value"))
     rows.write.option("lineSep", separator).option("maxRecordsPerFile", file_docs).text(path)
 
 
 def blocks_of(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, payload): fixed blocks of all files in a folder; the last one of a file is shorter."""
+    """(file, block, first_byte, n_bytes): fixed blocks of all files in a folder, dealt out evenly; the last one of a file is shorter. The contents aren't read."""
     size = 4 * block_ids
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length", "content")
-    cut = files.select("file", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size))).alias("block"))
-    return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("payload"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")
+    total = files.agg(F.sum("length")).first()[0] or 0
+    cut = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size))).alias("block"))
+    ways = max(1, min(-(-total // size), max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))))
+    ranges = cut.select("file", "block", (F.col("block") * size).alias("first_byte"), F.least(F.lit(size).cast("bigint"), F.col("length") - F.col("block") * size).alias("n_bytes"))
+    return ranges.repartition(ways)
+
+
+def read_range(file: str, first: int, n: int) -> bytes:
+    """Bytes of a file of a shared folder, given by the path that Spark gives, not escaped: a local file, or a store that pyarrow.fs opens."""
+    if file.startswith("file:"):
+        with open("/" + file.removeprefix("file:").lstrip("/"), "rb") as f:
+            f.seek(first)
+            data = f.read(n)
+    else:
+        store, name = fs.FileSystem.from_uri(quote(file, safe=":/@"))
+        with store.open_input_file(name) as f:
+            data = f.read_at(n, first)
+    if len(data) != n:
+        raise EOFError(f"{file} has {len(data)} of {n} bytes at {first}")
+    return data
 
 
 def scan_blocks(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
-    """(file, block, n_ids, ends): the places of end ids in each block."""
+    """(file, block, n_ids, ends): the places of end ids in each block; a block is in memory at a time."""
 
     def run(batches):
         for batch in batches:
-            arrays = [np.frombuffer(x, "<u4") for x in batch.column("payload").to_pylist()]
-            ends = [np.flatnonzero(a == end_id).astype(np.int64) for a in arrays]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array([len(a) for a in arrays], pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["file", "block", "n_ids", "ends"])
+            for i, (file, first, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "first_byte", "n_bytes")), strict=True)):
+                ids = np.frombuffer(read_range(file, first, n), "<u4")
+                ends = pa.array([np.flatnonzero(ids == end_id).astype(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("file").slice(i, 1), batch.column("block").slice(i, 1), pa.array([len(ids)], pa.int64()), ends], ["file", "block", "n_ids", "ends"])
 
     return blocks.mapInArrow(run, "file string, block bigint, n_ids bigint, ends array<bigint>")
 

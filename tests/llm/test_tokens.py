@@ -85,3 +85,28 @@ def test_blocks_are_stitched(spark, tmp_path, block):
 
 def test_flat_empty(documents):
     assert flat_tokens.token_counts(documents([(1, "x")]).limit(0), tokenizer_file()).count() == 0
+
+
+def test_files_above_the_limit_of_binary_files(spark, tmp_path):
+    size = (1 << 31) + 4096  # a sparse file: ids 0 but for three
+    folder = tmp_path / "large files %20#1"
+    folder.mkdir()
+    with open(folder / "part-0", "wb") as f:
+        for at in (5, 600_000_000 // 4, size // 4 - 2):
+            f.seek(4 * at)
+            f.write((7).to_bytes(4, "little"))
+        f.truncate(size)
+    block = 1 << 24
+    blocks = flat_tokens.blocks_of(spark, str(folder), block)
+    assert blocks.count() == -(-size // (4 * block)) and blocks.rdd.getNumPartitions() > 1
+    ends = [5, 150_000_000, size // 4 - 2, size // 4]
+    want = [(n, a + 1, b - a - 1) for n, (a, b) in enumerate(zip([-1, *ends], ends))]
+    assert sorted(tuple(r) for r in flat_tokens.count_tokens(spark, str(folder), 7, block).collect()) == want
+
+
+def test_ranges_follow_the_bytes(spark, documents, tmp_path, monkeypatch):
+    rows = documents([(i, f"text {i} " * 100) for i in range(60)])
+    monkeypatch.setattr(flat_tokens, "FILE_BYTES", 4000)
+    flat_tokens.write_flat_tokens(rows, str(tmp_path / "f"), tokenizer_file())
+    sizes = [p.stat().st_size for p in (tmp_path / "f").glob("part-*")]
+    assert len(sizes) > int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 8000
