@@ -58,14 +58,14 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed bigint; null text counts as empty."""
+def fingerprints(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the 64 bits as a signed bigint; null text counts as empty. ``also`` names bigint columns to carry."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t) for t in text_bytes(batch)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in also), pa.array(fps.view(np.int64))], ["doc_id", *also, "fp"])
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step), "doc_id bigint, fp bigint")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), *also, "text").mapInArrow(mapper(step), ", ".join(f"{c} bigint" for c in ("doc_id", *also, "fp")))
 
 
 @dataclass(frozen=True)
@@ -192,20 +192,21 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE,
     return links
 
 
-def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (bigint), fingerprint (16 hex digits), component_id for each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links, the document included. Null
     and empty texts, and texts without words, have fingerprint zero and link like any
     other. Rows of one doc_id with different texts belong to a component each. Null doc_ids
     are members, but never give a component its id; a component of such rows only has
-    a null id. Other columns aren't read; an empty table gives none.
+    a null id. Other columns aren't read; an empty table gives none. With ``also``, names of
+    bigint columns of ``docs``, rows have these too, and the component itself.
     """
-    own = stored(fingerprints(docs), "fingerprints")
+    own = stored(fingerprints(docs, also), "fingerprints")
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "fingerprint-nodes")
     links = near_links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits)
     groups = components(links).select(F.col("node").alias("fp"), "component")
     placed = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "component").join(ids, "component").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.select("fp", "component").join(ids, "component").select("fp", "component_id", "component")
+    return own.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *also, *(["component"] if also else []))

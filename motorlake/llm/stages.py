@@ -1,7 +1,7 @@
 """The operators as stages of a corpus pipeline: each takes and returns the rows of ``documents``.
 
-Rows with the same doc_id are one document and go together, null ids too: a filtering
-stage drops them all if it drops one of them. Columns that aren't named here pass
+Rows with the same doc_id are one document in language ID, null ids too: it drops them
+all if it drops one of them. Near-dedup and decontamination decide on each row's text. Columns that aren't named here pass
 through, whatever their names and nulls. Empty tables give empty ones.
 """
 
@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motorlake.llm import decontaminate, language, pieces, simhash
-from motorlake.llm.common import shared_path, table
+from motorlake.llm.common import shared_path, table, text_hash
 from motorlake.llm.line_dedup import line_dedup
 from motorlake.session import ship
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id, distinct); null ids match."""
-    wanted = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are in ``rows`` (doc_id, text_key, distinct); null ids match."""
+    wanted = rows.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    return docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (text_hash(F.col("text")) == F.col("_kept_key")), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each SimHash group. Of repeated rows with that id the one with the smallest text stays; groups of null ids go."""
+    """Keeps a row of each SimHash group: of its smallest doc_id, null only where all are null (then of the least text hash).
+
+    Groups with the same smallest doc_id keep one row together, the one with the smallest text.
+    """
     ship(spark)
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    kept = _keep(docs, groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    groups = simhash.simhash_groups(docs.select("doc_id", text_hash(F.col("text")).alias("text_key"), "text"), also=("text_key",))
+    named = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "text_key")
+    unnamed = groups.where("component_id is null").groupBy("component").agg(F.min("text_key").alias("text_key")).select(F.lit(None).cast("bigint").alias("doc_id"), "text_key")
+    kept = _keep(docs, named.unionByName(unnamed).distinct())
     if not _repeated(docs):
         return kept
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]])
+    first = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text_hash(F.col("text")))).orderBy(*[F.col(c) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]])
     return kept.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
 
 
@@ -52,10 +57,11 @@ def _repeated(docs: DataFrame) -> bool:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops rows whose text holds a benchmark item."""
     ship(spark)
-    held = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_dropped_id")), "left_anti")
+    row = F.xxhash64("doc_id", text_hash(F.col("text")))
+    held = decontaminate.leaks(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_dropped_row")).distinct()
+    return docs.join(held.hint("shuffle_hash"), row == F.col("_dropped_row"), "left_anti")
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,3 +143,15 @@ def test_stages_on_an_empty_table_with_clashing_columns(spark, folder):
             assert out.columns == table.columns
             assert out.count() > 0 or table.isEmpty()
     assert corpus_pipeline.STAGES[-1][1](spark, clash, folder).count() == docs.count()
+
+
+def test_clean_rows_with_null_and_repeated_ids_stay(spark, folder):
+    chance = random.Random(8)
+    a, b, c, d = (prose(chance, 60) for _ in range(4))
+    made = [(None, a), (None, a), (None, b), (3, c), (5, c), (5, d), (None, d + " " + BENCH), (7, a + " " + BENCH), (7, b)]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    left = [(r["doc_id"], r["text"]) for r in stages["decontamination"](spark, docs, folder).collect()]
+    assert sorted(left, key=repr) == sorted([x for x in made if BENCH not in x[1]], key=repr)
+    left = [(r["doc_id"], r["text"]) for r in stages["simhash_near_dedup"](spark, docs.limit(6), folder).collect()]
+    assert sorted(left, key=repr) == sorted([(None, a), (None, b), (3, c), (5, d)], key=repr)
