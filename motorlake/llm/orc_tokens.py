@@ -11,71 +11,81 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motorlake.llm.arrow import mapper, text_bytes
-from motorlake.llm.common import shared_path, stored
+from motorlake.llm.arrow import slices
+from motorlake.llm.common import shared_path, stored, text_hash
 from motorlake.llm.vocabulary import encoder
 
-SCHEMA = "doc_id bigint, ids array<int>"
+SCHEMA = "doc_id bigint, part int, place bigint, ids array<int>"
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20)}
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text and ``end_id``; null counts as empty."""
+    """(doc_id, part, place, ids): the ids of each whole text and ``end_id``; null counts as empty. part and place number the partitions and their rows."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(tokenizer)
-        ids = [enc.encode(t, end_id) for t in text_bytes(batch)]
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int32)))], ["doc_id", "ids"])
+    def run(batches):
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for piece in slices(batch):
+                ids, offsets = encoder(tokenizer).encode(piece.column("text"), end_id)
+                n = piece.num_rows
+                lists = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), lists], ["doc_id", "part", "place", "ids"])
+                place += n
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step), SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Deal the texts out by ranges of doc_id, sort, encode and write. Rows with the same doc_id are ordered by text; null ids come first."""
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encode(ranged, tokenizer, end_id).write.options(**OPTIONS).orc(path)
+    """Deal the texts out by ranges of doc_id, sort, encode and write a file for each range. Null ids come first.
+
+    Rows with the same doc_id are dealt out and ordered by a hash of the text, so that
+    many of them don't come to one task.
+    """
+    keyed = docs.select("doc_id", text_hash(F.col("text")).alias("text_key"), "text")
+    encode(keyed.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key"), tokenizer, end_id).write.options(**OPTIONS).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids, file); with ``doc_ids`` only these, found through the files' metadata."""
-    rows = spark.read.schema(SCHEMA).orc(path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
+    """(doc_id, part, place, ids); with ``doc_ids`` only these, found through the files' metadata."""
+    rows = spark.read.schema(SCHEMA).orc(path)
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
 def token_digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, file, n_tokens, ids_crc32) of rows of read_token_orc()."""
+    """(doc_id, part, place, n_tokens, ids_crc32) of rows of read_token_orc()."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
-            crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+            crcs = [zlib.crc32(values[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            own = [batch.column(c) for c in ("doc_id", "part", "place")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id bigint, file string, n_tokens bigint, ids_crc32 bigint")
+    return rows.mapInArrow(run, "doc_id bigint, part int, place bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def with_starts(digests: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before: sums of whole files, then a running sum in each file."""
+    """Adds ``start``, the ids of all documents before in the files: sums of whole files, then a running sum in each file."""
     digests = stored(digests, "token-digests")
-    files = digests.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min("doc_id").alias("least"))
-    before = Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    offsets = files.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return digests.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, "file").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    sizes = digests.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return digests.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, "part").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_orc(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
     """Write the files, read them back, and describe each document: doc_id, start, n_tokens, ids_crc32.
 
-    Null texts have the end id only. Null doc_ids come before all others; repeated
-    doc_ids are all kept, shorter ones first. Only doc_id and text are read, so other
-    columns can't clash. An empty table writes no rows and gives none.
+    Null and empty texts have the end id only. Null doc_ids come before all others;
+    repeated doc_ids are all kept, in the order of their places in the files. Only doc_id
+    and text are read, so other columns can't clash. Whole texts are encoded, however
+    long. An empty table writes no rows and gives none.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "token-orc")

@@ -1,17 +1,23 @@
-"""Encoding by a tokenizer file, with the ids of frequent words kept."""
+"""Encoding by a tokenizer file, whole slices of texts at once, with the ids of frequent words kept."""
 
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept at once in a worker, and the longest word kept, in bytes.
 KEPT_WORDS = 200_000
 KEPT_BYTES = 64
+#: Plain words that are encoded as one string.
+JOINED = 1024
+#: Letters whose lower case and composed form need no context, and ASCII marks that form a token of their own behind a letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = r"!-&(-/:;=>?@\[-`{-~"
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -20,39 +26,122 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 class WordEncoder:
-    """For tokenizers that drop white space: a text's ids are those of its words, one after the other."""
+    """For tokenizers that drop white space: a text's ids are those of its words, one after the other.
+
+    Distinct words of a slice are found as Arrow dictionaries, letters A-Z in lower case;
+    only those that aren't kept from earlier slices are encoded. Plain words, letters with
+    marks behind, are joined to long strings first and cut apart by the tokens that end a
+    word. Kept are the words of the last slices that came twice or more.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, tuple[int, ...]] = {}
-
-    def _encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        return [tuple(x.ids) for x in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-
-    def encode(self, text: bytes, end: int | None = None) -> np.ndarray:
-        """uint32 ids of a whole text in UTF-8; ``end`` is put after them."""
-        words = text.split()
-        known = self.kept
-        new = {w for w in words if w not in known}  # a difference with the dict's keys would walk through all of them
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = set(words)
-        short, long = [w for w in new if len(w) <= KEPT_BYTES], [w for w in new if len(w) > KEPT_BYTES]
-        if short:
-            known.update(zip(short, self._encode(short), strict=True))
-        own = dict(zip(long, self._encode(long), strict=True)) if long else {}
-        found = (known[w] if w in known else own[w] for w in words) if long else map(known.__getitem__, words)
-        ids = list(chain.from_iterable(found))
-        if end is not None:
-            ids.append(end)
-        return np.array(ids, dtype=np.uint32)
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.words = pa.array([], pa.string())
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _joined(self, words: list[str], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of plain words in lower case that are ``parts`` tokens of the pre-tokenizer each, a space between them."""
+        strings = [" ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.plain.encode_batch_fast(strings, add_special_tokens=False))])
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != parts * len(words):
+            return self._singly([w.replace(" ", "") for w in words])
+        return ids, np.diff(ends[parts - 1 :: parts], prepend=-1)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word)."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        one = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        two = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]+$").to_numpy(zero_copy_only=False)
+        rest = ~(one | two)
+        small = lambda mask: pc.utf8_lower(words.filter(pa.array(mask)))
+        found = [
+            (one, *self._joined(small(one).to_pylist(), 1)),
+            (two, *self._joined(pc.replace_substring_regex(small(two), f"^([{LETTERS}]+)", r"\1 ").to_pylist(), 2)),
+            (rest, *self._singly(words.filter(pa.array(rest)).to_pylist())),
+        ]
+        sizes = np.zeros(len(words), np.int64)
+        starts = np.zeros(len(words), np.int64)
+        base = 0
+        for mask, ids, own in found:
+            sizes[mask], starts[mask] = own, base + np.cumsum(own) - own
+            base += len(ids)
+        return gather(np.concatenate([ids for _, ids, _ in found]), starts, sizes), sizes
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): uint32 ids of all texts one after the other, and where each text's begin, with the total at last.
+
+        Null is empty; ``end`` is put after each text.
+        """
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        folded = pc.if_else(pc.match_substring(coded.dictionary, "<|"), coded.dictionary, pc.ascii_lower(coded.dictionary)).dictionary_encode()
+        words, places = folded.dictionary, folded.indices.to_numpy()[coded.indices.to_numpy()]
+        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        new = known < 0
+        new_ids, new_sizes = self._encode(words.filter(pa.array(new)))
+        kept_starts = np.cumsum(self.sizes) - self.sizes
+        source, base = np.concatenate([self.ids, new_ids]), len(self.ids)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[~new], sizes[~new] = kept_starts[known[~new]], self.sizes[known[~new]]
+        starts[new], sizes[new] = base + np.cumsum(new_sizes) - new_sizes, new_sizes
+        ids = gather(source, starts[places], sizes[places])
+        ends = np.concatenate(([0], np.cumsum(sizes[places])))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        self._keep(words, np.bincount(places, minlength=len(words)), starts, sizes, source, known[~new])
+        if end is None:
+            return ids, ends
+        offsets = ends + np.arange(len(ends))
+        closed = np.full(offsets[-1], end, np.uint32)
+        inside = np.ones(len(closed), bool)
+        inside[offsets[1:] - 1] = False
+        closed[inside] = ids
+        return closed, offsets
+
+    def _keep(self, words: pa.Array, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, source: np.ndarray, used: np.ndarray) -> None:
+        short = pc.less_equal(pc.binary_length(words), KEPT_BYTES).to_numpy(zero_copy_only=False)
+        chosen = np.flatnonzero(short & (counts > 1))
+        if len(chosen) > KEPT_WORDS:
+            chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:KEPT_WORDS]]
+        before = np.cumsum(self.sizes) - self.sizes
+        older = np.ones(len(self.words), bool)
+        older[used] = False
+        older = np.flatnonzero(older)[: KEPT_WORDS - len(chosen)]
+        self.words = pa.concat_arrays([words.take(pa.array(chosen)), self.words.take(pa.array(older))])
+        kept_starts, self.sizes = np.concatenate([starts[chosen], before[older]]), np.concatenate([sizes[chosen], self.sizes[older]])
+        self.ids = gather(source, kept_starts, self.sizes)
+
+
+def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``source`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+def encoder(path: str, special: bool = True) -> WordEncoder:
+    """The encoder of this worker; without ``special``, the names of special tokens are ordinary text."""
+    if (path, special) not in _encoders:
+        _encoders[path, special] = WordEncoder(path)
+        _encoders[path, special].tokenizer.encode_special_tokens = not special
+    return _encoders[path, special]

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -17,28 +18,61 @@ def library():
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+HARD = ["K\u0327e\u0301 E\u0301 I\u0307stanbul", "<|ENDOFTEXT|> <|endoftext|>x <|startoftext|>", "I'm he'LL o'clock 'tis", "\u0958 क़ Σίσυφος ΣΑΣ", "a.b, c!? (d) e-f _g_ 12 3a a3 ½ ²", "ÀÉÎ, ßtraße. ÑANDÚ!", "\u00a0x\u2003y\u3000z", "``` <tag> a<b a>b a|b", "zero\u200bwidth ﬁ Ǆ"]
+
+
+def split(found):
+    ids, offsets = found
+    return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+
+
 def test_word_cache_changes_nothing(library, corpus):
-    encoder = WordEncoder(tokenizer_file())
-    for text in [*CASES, *[r["text"] for r in corpus.limit(40).collect()]]:
-        assert encoder.encode((text or "").encode()).tolist() == library(text)
+    enc = WordEncoder(tokenizer_file())
+    texts = [*CASES, *HARD, *[r["text"] for r in corpus.collect()]]
+    for part in (texts, texts[5:60], [], [None], texts[::-1]):
+        found = enc.encode(pa.array(part, pa.string()))
+        assert split(found) == [library(t) for t in part]
+        assert split(enc.encode(pa.array(part, pa.string()), 1)) == [[*library(t), 1] for t in part]
 
 
-def test_word_cache_is_bounded(monkeypatch, library):
-    monkeypatch.setattr("motorlake.llm.vocabulary.KEPT_WORDS", 3)
-    encoder = WordEncoder(tokenizer_file())
-    for text in ("one two three", "four five", "six seven eight nine ten", "one nine"):
-        assert encoder.encode(text.encode()).tolist() == library(text)
+def test_every_kind_of_word(library):
+    chance = np.random.default_rng(5)
+    signs = list("abzABZ àÉßÿ÷×.,'!<|>0²½`~_\t") + ["'s", "<|endoftext|>", "\u0301", "日", "ǅ"]
+    texts = ["".join(chance.choice(signs, chance.integers(0, 12))) for _ in range(3000)]
+    assert split(WordEncoder(tokenizer_file()).encode(pa.array(texts))) == [library(t) for t in texts]
 
 
-def test_orc(documents, library):
-    rows = list(enumerate(CASES)) + [(3, "again"), (None, "no id")]
-    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["start"], r["n_tokens"], r["ids_crc32"]) for r in orc_tokens.token_orc(documents(rows), tokenizer_file()).collect())
-    want, start = [], 0
-    encoded = [(-1 if i is None else i, [*library(t), 1]) for i, t in rows]
-    for i, ids in sorted(encoded, key=lambda x: (x[0], len(x[1]))):
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert got == sorted(want)
+def test_word_cache_is_bounded(monkeypatch, library):
+    monkeypatch.setattr("motorlake.llm.vocabulary.KEPT_WORDS", 3)
+    enc = WordEncoder(tokenizer_file())
+    for text in ("one two three one two three", "four five four five", "six seven eight nine ten " * 2, "one nine " * 3, "one nine ten"):
+        assert split(enc.encode(pa.array([text]))) == [library(text)]
+        assert len(enc.words) <= 3
+
+
+def test_orc(spark, documents, library):
+    rows = list(enumerate(CASES)) + [(3, "again"), (3, "again"), (3, None), (None, "no id"), (None, None)]
+    found = orc_tokens.token_orc(documents(rows).withColumns({"start": F.lit("own"), "part": F.lit("own"), "n_tokens": F.lit("own")}), tokenizer_file()).collect()
+    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["n_tokens"], r["ids_crc32"]) for r in found) == sorted(
+        ((i is not None, i or 0), len(library(t)) + 1, zlib.crc32(np.array([*library(t), 1], "<u4").tobytes())) for i, t in rows
+    )
+    start = 0
+    for r in sorted(found, key=lambda r: r["start"]):
+        assert r["start"] == start
+        start += r["n_tokens"]
+    ids = [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_start_is_the_place_in_the_files(spark, documents, tmp_path):
+    rows = [(i % 4, "word " * (i * 7 % 5)) for i in range(40)] + [(9, "x " * 1_000_000)]
+    path = str(tmp_path / "o")
+    found = {(r["start"], r["n_tokens"]) for r in orc_tokens.token_orc(documents(rows), tokenizer_file(), path=path).collect()}
+    want, start = set(), 0
+    for r in sorted(orc_tokens.read_token_orc(spark, path).collect(), key=lambda r: (r["part"], r["place"])):
+        want.add((start, len(r["ids"])))
+        start += len(r["ids"])
+    assert found == want and max(n for _, n in found) == 1_000_001
 
 
 def test_orc_reads_by_id(spark, documents, library, tmp_path):
@@ -52,22 +86,41 @@ def test_orc_empty(documents):
     assert orc_tokens.token_orc(documents([(1, "x")]).limit(0), tokenizer_file()).count() == 0
 
 
-def test_flat_files(documents, library):
-    rows = list(enumerate(CASES)) + [(3, "again"), (None, "no id")]
-    got = sorted(tuple(r) for r in flat_tokens.token_counts(documents(rows).withColumn("start", F.lit(1)), tokenizer_file()).collect())
-    ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
-    want, start = [], 0
-    for n, (_, text) in enumerate(ordered):
-        size = len(library(text))
-        want.append((n, start, size))
-        start += size + 1
-    assert got == want
-
-
-@pytest.mark.parametrize("block", [1, 2, 3, 5, 64])
-def test_blocks_are_stitched(spark, tmp_path, block):
+def plain(text):
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    tokenizer.encode_special_tokens = True
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_flat_files(documents):
+    rows = list(enumerate(CASES)) + [(3, "again"), (3, "again"), (None, "no id"), (None, None), (-5, "x " * 600_000), (1 << 62, "large id")]
+    found = flat_tokens.token_counts(documents(rows).repartition(5).withColumns({"start": F.lit("own"), "kind": F.lit("own"), "ordinal": F.lit("own")}), tokenizer_file()).collect()
+    key = lambda i: (i is not None, i or 0)
+    assert sorted((key(r["doc_id"]), r["n_tokens"]) for r in found) == sorted((key(i), len(plain(t))) for i, t in rows)
+    start = 0
+    for n, r in enumerate(sorted(found, key=lambda r: r["ordinal"])):
+        assert (r["ordinal"], r["start"]) == (n, start)
+        start += r["n_tokens"] + 1
+
+
+def test_flat_files_are_small(spark, documents, tmp_path):
+    rows = [(i, f"text {i} <|endoftext|> " * 30) for i in range(60)]
+    assert flat_tokens.id_width(tokenizer_file(), 49408) == 2 and flat_tokens.id_width(tokenizer_file(), 1 << 16) == 4
+    flat_tokens.write_flat_tokens(documents(rows).repartition(3), str(tmp_path / "f"), tokenizer_file(), 49408, 2)
+    ids, docs = ({p.name: p.read_bytes() for p in (tmp_path / "f" / f"kind={k}").glob("part-*")} for k in ("ids", "docs"))
+    assert ids.keys() == docs.keys() and len(ids) == 3
+    for name, data in docs.items():
+        own = [int.from_bytes(data[at : at + 8], "little") for at in range(0, len(data), 11)]
+        want = [x for i in own for x in (*plain(rows[i][1]), 49408)]
+        assert np.frombuffer(ids[name], "<u2").tolist() == want
+
+
+@pytest.mark.parametrize("width", [2, 4])
+@pytest.mark.parametrize("block", [1, 2, 5, 64])
+def test_blocks_are_stitched(spark, tmp_path, block, width):
     end, chance = 7, np.random.default_rng(3)
-    files = [chance.integers(5, 9, n).astype("<u4") for n in (40, 1, 23)] + [np.full(6, end, "<u4"), np.array([1, 2, 3], "<u4")]
+    kind = f"<u{width}"
+    files = [chance.integers(5, 9, n).astype(kind) for n in (40, 1, 23)] + [np.full(6, end, kind), np.array([1, 2, 3], kind)]
     folder = tmp_path / f"b{block}"
     folder.mkdir()
     for i, ids in enumerate(files):
@@ -80,7 +133,7 @@ def test_blocks_are_stitched(spark, tmp_path, block):
                 want.append((len(want), base + start, at - start))
             start = at + 1
         base += len(ids)
-    assert sorted(tuple(r) for r in flat_tokens.count_tokens(spark, str(folder), end, block).collect()) == want
+    assert sorted(tuple(r) for r in flat_tokens.count_tokens(spark, str(folder), end, width, block).collect()) == want
 
 
 def test_flat_empty(documents):
@@ -97,16 +150,8 @@ def test_files_above_the_limit_of_binary_files(spark, tmp_path):
             f.write((7).to_bytes(4, "little"))
         f.truncate(size)
     block = 1 << 24
-    blocks = flat_tokens.blocks_of(spark, str(folder), block)
+    blocks = flat_tokens.blocks_of(spark, str(folder), 4, block)
     assert blocks.count() == -(-size // (4 * block)) and blocks.rdd.getNumPartitions() > 1
     ends = [5, 150_000_000, size // 4 - 2, size // 4]
     want = [(n, a + 1, b - a - 1) for n, (a, b) in enumerate(zip([-1, *ends], ends))]
-    assert sorted(tuple(r) for r in flat_tokens.count_tokens(spark, str(folder), 7, block).collect()) == want
-
-
-def test_ranges_follow_the_bytes(spark, documents, tmp_path, monkeypatch):
-    rows = documents([(i, f"text {i} " * 100) for i in range(60)])
-    monkeypatch.setattr(flat_tokens, "FILE_BYTES", 4000)
-    flat_tokens.write_flat_tokens(rows, str(tmp_path / "f"), tokenizer_file())
-    sizes = [p.stat().st_size for p in (tmp_path / "f").glob("part-*")]
-    assert len(sizes) > int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 8000
+    assert sorted(tuple(r) for r in flat_tokens.count_tokens(spark, str(folder), 7, 4, block).collect()) == want
