@@ -1,18 +1,22 @@
-"""SimHash near-dedup: fingerprints linked within a Hamming distance through a vantage-point tree.
-
-Equal fingerprints are one node. A tree over a bounded sample of the nodes deals all
-nodes out to leaves: a node of the tree holds a vantage fingerprint and a radius, and
-sends what lies within the radius to one side, the rest to the other. By the triangle
-inequality two fingerprints that link differ by no more than the threshold in their
-distance to the vantage, so a fingerprint from beyond the radius visits the inner side
-only if it lies within the radius plus the threshold. Each leaf then links the
-fingerprints at home there with all of its own and its visitors, exactly.
+"""SimHash near-dedup: fingerprints linked within a Hamming distance through vantage-point trees.
+
+Equal fingerprints are one node. A tree deals all nodes out to shards: a node of the tree
+holds a vantage fingerprint and a radius, and sends what lies within the radius to one
+side, the rest to the other. By the triangle inequality two fingerprints that link differ
+by no more than the threshold in their distance to the vantage, so a fingerprint from
+beyond the radius visits the inner side only if it lies within the radius plus the
+threshold. A tree is drawn from a bounded sample; shards that come out too large for a
+task are dealt out again by trees drawn from them, until all fit, so the depth follows
+the number of fingerprints at every size. Each shard then links the fingerprints at home
+there with all of its own and its visitors, exactly, through a tree of its own.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,19 +32,25 @@ from motorlake.llm.components import components
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-#: The tree is built on so many fingerprints at most.
-SAMPLE = 8192
-#: Fingerprints that should be at home in a leaf, and from how many on it is split by bit blocks.
-LEAF = 512
-DENSE = 4096
-#: Rows of a split leaf that one group takes.
-GROUP_ROWS = 1 << 16
-#: Vantage fingerprints tried at each node of the tree.
+#: A tree is drawn from so many fingerprints at most, and has a leaf for SAMPLE_LEAF of them at least.
+SAMPLE = 1 << 16
+SAMPLE_LEAF = 16
+#: Fingerprints that should be at home in a shard, and rows, visitors included, that a task takes.
+SHARD = 8192
+SHARD_ROWS = 1 << 20
+#: Fingerprints that should be at home in a leaf of a shard's own tree.
+LEAF = 256
+#: Vantage fingerprints tried at each node of a tree, on so many fingerprints of it.
 TRIED = 12
+TRIED_ON = 512
 #: A node isn't split if a larger share than this would visit the other side.
 MAX_VISITS = 0.6
-#: A dense leaf is split by the bits of all but MAX_BITS of so many blocks.
-BLOCKS = 6
+#: Trees that go to all tasks at once when shards are dealt out again, and fingerprints that each is drawn from.
+TREES = 256
+RESAMPLE = 1 << 13
+#: Rows walked through a tree at once, and rows in a part of a shard that no tree divides.
+DEALT = 1 << 15
+CELL = 1 << 15
 
 
 def fingerprint(text: bytes, n: int = SHINGLE) -> int:
@@ -79,37 +89,41 @@ class Node:
     outer: Node | None = None
 
 
-def build_tree(sample: np.ndarray, total: int, max_bits: int = MAX_BITS, leaf: int = LEAF) -> Node:
-    """A vantage-point tree over sample fingerprints (uint64) that stand for ``total`` ones."""
+def build_tree(sample: np.ndarray, total: int, max_bits: int = MAX_BITS, leaf: int = LEAF, least: int = SAMPLE_LEAF) -> Node:
+    """A vantage-point tree over sample fingerprints (uint64) that stand for ``total`` ones: ``leaf`` of them in a leaf, ``least`` of the sample."""
     chance = np.random.default_rng(7)
     leaves = iter(range(1 << 30))
     weight = total / max(1, len(sample))
 
     def split(own: np.ndarray) -> Node:
-        if len(own) < 16 or len(own) * weight <= leaf:
+        if len(own) < 2 * least or len(own) * weight <= leaf:
             return Node(next(leaves))
+        some = own if len(own) <= TRIED_ON else chance.choice(own, TRIED_ON, replace=False)
         best = None
         for vantage in chance.choice(own, min(TRIED, len(own)), replace=False):
-            far = np.bitwise_count(own ^ vantage)
+            far = np.bitwise_count(some ^ vantage)
             for radius in np.unique(np.quantile(far, (0.35, 0.5, 0.65)).astype(int)):
                 inside = (far <= radius).mean()
                 visits = ((far > radius) & (far <= radius + max_bits)).mean()
                 if 0.1 <= inside <= 0.9 and visits <= MAX_VISITS:
                     cost = visits + abs(inside - 0.5) / 2
                     if best is None or cost < best[0]:
-                        best = (cost, int(vantage), int(radius), far <= radius)
+                        best = (cost, int(vantage), int(radius))
         if best is None:
             return Node(next(leaves))
-        _, vantage, radius, inside = best
+        _, vantage, radius = best
+        inside = np.bitwise_count(own ^ np.uint64(vantage)) <= radius
+        if inside.all() or not inside.any():
+            return Node(next(leaves))
         return Node(-1, vantage, radius, split(own[inside]), split(own[~inside]))
 
     return split(np.unique(sample))
 
 
-def places(tree: Node, fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home) of each leaf that a fingerprint lives in or visits."""
+def places(tree: Node, fps: np.ndarray, home: np.ndarray | None = None, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home) of each leaf that a fingerprint lives in or visits; those not at home only visit."""
     out = []
-    todo = [(tree, np.arange(len(fps)), np.ones(len(fps), bool))]
+    todo = [(tree, np.arange(len(fps)), np.ones(len(fps), bool) if home is None else home)]
     while todo:
         node, rows, home = todo.pop()
         if not len(rows):
@@ -119,77 +133,164 @@ def places(tree: Node, fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.nd
             continue
         far = np.bitwise_count(fps[rows] ^ np.uint64(node.vantage)).astype(np.int64)
         inside = far <= node.radius
-        inner = inside & home | ~home & (far <= node.radius + max_bits) | home & ~inside & (far <= node.radius + max_bits)
+        inner = far <= node.radius + max_bits
         outer = ~inside & home | ~home & (far > node.radius - max_bits)
         todo.append((node.inner, rows[inner], home[inner] & inside[inner]))
-        todo.append((node.outer, rows[outer], home[outer] & ~inside[outer]))
+        todo.append((node.outer, rows[outer], home[outer]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
-def linked(fps: np.ndarray, home: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """For each fingerprint of a shard the first one that it is linked with, through others or not; links need one end at home."""
-    label = np.arange(len(fps))
-    rows = np.flatnonzero(home)
-    step = max(1, (1 << 20) // max(1, len(fps)))
-    for at in range(0, len(rows), step):
-        part = rows[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[None, :]) <= max_bits)
-        i = part[i]
-        while True:
+def _link(label: np.ndarray, fps: np.ndarray, own: np.ndarray, all_: np.ndarray, max_bits: int) -> None:
+    """Lower the labels of linked fingerprints to the smaller one, comparing each of rows ``own`` with each of rows ``all_``."""
+    step = max(1, (1 << 20) // max(1, len(all_)))
+    others = fps[all_]
+    for at in range(0, len(own), step):
+        part = own[at : at + step]
+        i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ others[None, :]) <= max_bits)
+        i, j = part[i], all_[j]
+        other = i != j
+        i, j = i[other], j[other]
+        while len(i):
+            for rows in (i, j):  # each row's label becomes its root
+                root = label[rows]
+                while (label[root] != root).any():
+                    root = label[root]
+                label[rows] = root
             a, b = label[i], label[j]
             apart = a != b
-            if not apart.any():
-                break
             i, j = i[apart], j[apart]
             np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-            while (label[label] != label).any():
-                label = label[label]
+
+
+def linked(fps: np.ndarray, home: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF) -> np.ndarray:
+    """For each fingerprint of a shard the first one that it is linked with, through others or not; links need one end at home."""
+    label = np.arange(len(fps))
+    tree = build_tree(fps[home], int(home.sum()), max_bits, leaf)
+    rows, leaves, at_home = places(tree, fps, home, max_bits)
+    order = np.argsort(leaves, kind="stable")
+    rows, leaves, at_home = rows[order], leaves[order], at_home[order]
+    bounds = np.flatnonzero(np.diff(leaves, prepend=-1, append=-1))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        _link(label, fps, rows[a:b][at_home[a:b]], rows[a:b], max_bits)
+    while (label[label] != label).any():
+        label = label[label]
     return label
 
 
-def _shard_links(shard: pd.DataFrame) -> pd.DataFrame:
-    shard = shard.sort_values("node", kind="stable")
-    label = linked(shard["fp"].to_numpy().view(np.uint64), shard["home"].to_numpy())
-    nodes = shard["node"].to_numpy()
-    found = nodes[label] != nodes
-    return pd.DataFrame({"u": nodes[found], "v": nodes[label][found]})
+def _shard_links(max_bits: int, leaf: int):
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values(["node", "home"], kind="stable").drop_duplicates("node", keep="last")
+        label = linked(shard["fp"].to_numpy().view(np.uint64), shard["home"].to_numpy(), max_bits, leaf)
+        nodes = shard["node"].to_numpy()
+        found = nodes[label] != nodes
+        return pd.DataFrame({"u": nodes[found], "v": nodes[label][found]})
+
+    return run
+
+
+def together(batches):
+    """Batches of DEALT rows or more, so that walking through a tree pays."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            held.append(batch)
+        if held and (batch is None or sum(b.num_rows for b in held) >= DEALT):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+
 
+ROWS = "shard bigint, node bigint, fp bigint, home boolean"
 
-def _block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """The links of each run of rows with the same key."""
-    group = group.sort_values("key", kind="stable")
-    keys = group["key"].to_numpy()
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-    runs = [_shard_links(group.iloc[a:b]) for a, b in zip(starts, starts[1:], strict=False) if b - a > 1]
-    return pd.concat([pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)}), *runs])
 
+def deal(rows: DataFrame, trees: dict[int, Node], first: int, max_bits: int) -> DataFrame:
+    """Deal the rows of some shards out to the leaves of a tree for each; leaves are numbered from ``first`` on, ``1 << 20`` numbers for a tree."""
+    base = {shard: first + (n << 20) for n, shard in enumerate(sorted(trees))}
+    sent = rows.sparkSession.sparkContext.broadcast((trees, base))
 
-def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, leaf: int = LEAF, dense: int = DENSE) -> DataFrame:
-    """(u, v) links between nodes (node, fp; distinct fp) that join exactly what lies within ``max_bits``; a spanning forest of each shard, not all pairs."""
+    def run(batches):
+        known, start = sent.value
+        for batch in together(batches):
+            shards = batch.column("shard").to_numpy(zero_copy_only=False)
+            for shard in np.unique(shards).tolist():
+                part = batch.filter(pa.array(shards == shard))
+                fps = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                at, leaves, home = places(known[shard], fps, part.column("home").to_numpy(zero_copy_only=False), max_bits)
+                taken = part.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(start[shard] + leaves), taken.column("node"), taken.column("fp"), pa.array(home)], ["shard", "node", "fp", "home"])
+
+    return rows.mapInArrow(run, ROWS)
+
+
+def _drawn(rows: DataFrame, homes: dict[int, int], size: int, leaf: int, max_bits: int) -> dict[int, Node]:
+    """A tree for each shard of ``homes`` (shard to fingerprints at home), drawn in the tasks from a hash sample of about ``size`` of each."""
+    share = rows.sparkSession.createDataFrame([(s, min(1.0, size / n), n) for s, n in homes.items()], "shard bigint, share double, total bigint")
+    some = rows.where("home").join(F.broadcast(share), "shard").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        tree = build_tree(np.sort(group["fp"].to_numpy().view(np.uint64)), int(group["total"].iloc[0]), max_bits, leaf)
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "tree": [pickle.dumps(tree)]})
+
+    found = some.select("shard", "fp", "total").groupBy("shard").applyInPandas(draw, "shard bigint, tree binary").collect()
+    return {r["shard"]: pickle.loads(bytes(r["tree"])) for r in found}
+
+
+def dealt(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD, shard_rows: int = SHARD_ROWS) -> tuple[list[DataFrame], list[tuple[DataFrame, dict]]]:
+    """Tables of (shard, node, fp, home): of shards that a task takes, and of larger ones that no tree divides, with their rows and homes.
+
+    A round writes what it dealt out to the shared folder; shards of more than
+    ``shard_rows`` rows are dealt out again in the next one, each by a tree drawn from it,
+    TREES of them at once.
+    """
+    turn = nodes.select(F.lit(0).cast("bigint").alias("shard"), "node", "fp", F.lit(True).alias("home"))
     total = nodes.count()
-    picked = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    tree = build_tree(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), total, max_bits, leaf)
-
-    def deal(batches):
-        for batch in batches:
-            rows, leaves, home = places(tree, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), max_bits)
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int64)), taken.column("node"), taken.column("fp"), pa.array(home)], ["leaf", "node", "fp", "home"])
-
-    dealt = nodes.select("node", "fp").mapInArrow(deal, "leaf bigint, node bigint, fp bigint, home boolean")
-    dealt = stored(dealt, "vantage-leaves")
-    full = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("own")).where(F.col("own") > dense).collect()}  # leaves, not fingerprints
-    links = dealt.where(~F.col("leaf").isin([*full])).groupBy("leaf").applyInPandas(_shard_links, "u bigint, v bigint")
-    if full:  # two fingerprints that differ in 2 bits agree in all bits of 4 of the 6 blocks
-        edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-        masks = [sum(1 << b for k in keep for b in range(edges[k], edges[k + 1])) for keep in combinations(range(BLOCKS), BLOCKS - max_bits)]
-        signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-        shards = dealt.where(F.col("leaf").isin([*full])).select("leaf", "node", "fp", "home", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "key"))
-        ways = -(-max(full.values()) // GROUP_ROWS)
-        links = links.unionByName(shards.groupBy("leaf", "mask", F.pmod(F.xxhash64("key"), F.lit(ways)).alias("way")).applyInPandas(_block_links, "u bigint, v bigint"))
-    return links
+    full, size, first = {0: (total, total)} if total else {}, sample, 1
+    fit, dense = [], []
+    while full:
+        parts = []
+        for at in range(0, len(full), TREES):
+            some = {s: full[s] for s in sorted(full)[at : at + TREES]}
+            own = turn.where(F.col("shard").isin([*some]))
+            trees = _drawn(own, {s: homes for s, (_, homes) in some.items()}, size, shard, max_bits)
+            divided = {s: tree for s, tree in trees.items() if tree.inner is not None}
+            for place, whole in ((fit, {s: n for s, n in some.items() if s not in divided and n[0] <= shard_rows}), (dense, {s: n for s, n in some.items() if s not in divided and n[0] > shard_rows})):
+                if whole:
+                    left = own.where(F.col("shard").isin([*whole]))
+                    place.append(left if place is fit else (left, whole))
+            if divided:
+                parts.append(stored(deal(own.where(F.col("shard").isin([*divided])), divided, first, max_bits), "vantage-shards"))
+                first += len(divided) << 20
+        if not parts:
+            break
+        turn = reduce(DataFrame.unionByName, parts)
+        sizes = turn.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("own")).where((F.col("n") > shard_rows) & (F.col("own") > 0))
+        full, size = {r["shard"]: (r["n"], r["own"]) for r in sizes.collect()}, min(sample, RESAMPLE)  # shards, not fingerprints
+        fit.append(turn.where(~F.col("shard").isin([*full])) if full else turn)
+    return fit, dense
+
+
+def grid(rows: DataFrame, sizes: dict[int, tuple[int, int]], cell: int) -> DataFrame:
+    """(shard, i, j, node, fp, home): each shard's homes in parts i and rows in parts j of about ``cell`` rows, every two parts together."""
+    ways = rows.sparkSession.createDataFrame([(s, -(-own // cell), -(-n // cell)) for s, (n, own) in sizes.items()], "shard bigint, homes int, alls int")
+    known = rows.join(F.broadcast(ways), "shard")
+    part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = known.where("home").select("shard", part("homes").alias("i"), every("alls").alias("j"), "node", "fp", "home")
+    right = known.select("shard", every("homes").alias("i"), part("alls").alias("j"), "node", "fp", F.lit(False).alias("home"))
+    return left.unionByName(right)
+
+
+def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
+    """(u, v) links between nodes (node, fp; distinct fp) that join exactly what lies within ``max_bits``; a spanning forest of each shard, not all pairs.
+
+    Shards that no tree divides, all their fingerprints being about equally far from each
+    other, are compared part by part.
+    """
+    fit, dense = dealt(nodes, max_bits, sample, shard, shard_rows)
+    links = [rows.groupBy("shard").applyInPandas(_shard_links(max_bits, leaf), "u bigint, v bigint") for rows in fit]
+    links += [grid(rows, sizes, max(1, min(CELL, shard_rows))).groupBy("shard", "i", "j").applyInPandas(_shard_links(max_bits, leaf), "u bigint, v bigint") for rows, sizes in dense]
+    return reduce(DataFrame.unionByName, links) if links else nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).where("u <> v")
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, also: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from motorlake.llm import simhash
 from motorlake.llm.components import components
@@ -58,16 +59,39 @@ def planted(n=400, seed=5):
     return np.array(sorted(fps), np.uint64)
 
 
-@pytest.mark.parametrize(("leaf", "dense"), [(8, 1 << 20), (64, 1 << 20), (16, 4), (1 << 20, 1)])
-def test_links_join_what_brute_force_joins(spark, leaf, dense):
+@pytest.mark.parametrize(("sample", "shard", "rows", "leaf"), [(1 << 16, 1 << 13, 1 << 20, 256), (256, 64, 300, 8), (1 << 16, 8, 1, 8)])
+def test_links_join_what_brute_force_joins(spark, sample, shard, rows, leaf):
+    """With shards that fit at once, that are dealt out again over several rounds, and that no tree divides."""
     fps = planted()
-    signed = fps.view(np.int64).tolist()
-    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "node bigint, fp bigint")
-    found = {r["node"]: r["component"] for r in components(simhash.near_links(nodes, leaf=leaf, dense=dense)).collect()}
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps.view(np.int64).tolist())], "node bigint, fp bigint")
+    found = {r["node"]: r["component"] for r in components(simhash.near_links(nodes, sample=sample, shard=shard, shard_rows=rows, leaf=leaf)).collect()}
     want = brute_groups(list(range(len(fps))), [int(f) for f in fps])
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_shards_are_dealt_out_again(spark):
+    fps = planted()
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps.view(np.int64).tolist())], "node bigint, fp bigint")
+    fit, dense = simhash.dealt(nodes, sample=128, shard=32, shard_rows=150)
+    assert len(fit) > 1
+    assert all(r["n"] <= 150 for rows in fit for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect())
+    homes = [r["node"] for rows in [*fit, *(rows for rows, _ in dense)] for r in rows.where("home").collect()]
+    assert sorted(homes) == list(range(len(fps)))
+
+
+def test_rows_dealt_at_fourteen_million_fingerprints():
+    """The tree for 14 million fingerprints, drawn from SAMPLE of them, and how many shards a fingerprint comes to."""
+    chance = np.random.default_rng(2)
+    total = 14_000_000
+    tree = simhash.build_tree(chance.integers(0, 1 << 63, simhash.SAMPLE, np.uint64) * np.uint64(2), total, leaf=simhash.SHARD)
+    some = chance.integers(0, 1 << 63, 50_000, np.uint64) * np.uint64(2)
+    rows, leaves, home = simhash.places(tree, some)
+    scaled = np.bincount(leaves) * total / len(some)
+    print(len(scaled), len(rows) / len(some), scaled.max())
+    assert len(scaled) > 1000 and home.sum() == len(some)
+    assert len(rows) / len(some) < 40 and scaled.max() < simhash.SHARD_ROWS
+
+
 def test_every_close_pair_meets_at_home():
     fps = planted()
     tree = simhash.build_tree(fps, len(fps), leaf=16)
