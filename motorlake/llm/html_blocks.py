@@ -1,8 +1,9 @@
 """HTML extraction: flat text blocks, classified by a decision tree over a block and its neighbours.
 
-A page becomes a list of blocks with their words, the share of words in links, and
-whether they stand in a part for content or for furniture. The tree is trained here on
-the blocks of a small table of labelled pages.
+A page becomes a list of blocks with their words and the share of words in links. The
+tree sees these of a block and of the blocks around it; where the block stands, and
+what the names around it say, are further features of the same tree, none of which
+decides by itself. It is trained here on the small labelled table of html_labelled.
 """
 
 from __future__ import annotations
@@ -17,37 +18,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorlake.llm.arrow import mapper, texts
+from motorlake.llm.html_labelled import labelled_pages
 
 #: Elements inside a line; those whose text isn't shown; those for furniture; those for content.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object textarea select title head canvas audio video".split())
-FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset address".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow msub msup mfrac q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("script style noscript template svg iframe object textarea select title head canvas audio video".split())
+FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
+ROLES = frozenset("navigation contentinfo complementary search banner dialog menu".split())
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that mark furniture.
+#: Words in a class or id that often name furniture, and words before them that say it stands elsewhere.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer footer form header "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form header "
     "menu modal nav navbar navigation newsletter notice notices pagination popup promo related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
+ELSEWHERE = frozenset("has no with without".split())
+#: A form or a marked element that holds more than this share of a page's words, in so many blocks, is a wrapper.
+WRAPPER_SHARE = 0.6
+WRAPPER_BLOCKS = 3
 
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 HIDES = re.compile(r"""\shidden(?=[\s=>/])|display\s*:\s*none""", re.IGNORECASE)
 NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
 TAG_REST = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
 
 
+@dataclass
+class Around:
+    """An element that may say something about the blocks in it: for content, for furniture, a header, or with marks (1 a word among others, 2 all words of a name)."""
+
+    parent: Around | None
+    content: bool
+    furniture: bool
+    form: bool
+    header: bool
+    marks: int
+    words: int = 0
+    own_words: int = 0  # without those of content elements inside
+    blocks: int = 0
+
+
 @dataclass
 class Block:
     text: str
     words: int
     link_words: int
-    furniture: bool
-    content: bool
+    heading: bool = False
+    around: Around | None = None
 
     @property
     def density(self) -> float:
         return self.link_words / self.words if self.words else 0.0
 
+    def chain(self) -> list[Around]:
+        """The elements around, innermost first."""
+        out, at = [], self.around
+        while at is not None:
+            out.append(at)
+            at = at.parent
+        return out
+
 
 def _tokens(page: str):
     """(kind, value): text, or the inside of a tag; comments, declarations and a tag that is cut off are left out."""
@@ -83,19 +114,26 @@ def _tokens(page: str):
             at = size if close is None else close.start()
 
 
-def _marked(tag: str) -> bool:
-    if "=" not in tag and "hidden" not in tag:
-        return False
-    if HIDES.search(tag + ">"):
-        return True
-    return any(MARKS.intersection(re.split(r"[^a-z]+", m[1].lower())) for m in ATTRIBUTE.finditer(tag))
+def _marks(tag: str) -> tuple[int, bool]:
+    """What the class, id and role of a tag say: 2 if all words of one name are marks, 1 if one is; and whether the role is for furniture."""
+    found, role = 0, False
+    if "=" in tag:
+        for kind, value in ATTRIBUTE.findall(tag):
+            for name in value.strip("\"'").lower().split():
+                parts = [x for x in re.split(r"[^a-z]+", name) if x]
+                if kind.lower() == "role":
+                    role = role or name in ROLES
+                elif parts and parts[0] not in ELSEWHERE:
+                    hits = sum(x in MARKS for x in parts)
+                    found = max(found, 2 if hits == len(parts) else 1 if hits else 0)
+    return found, role
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; white space in a block is one space, character references are decoded."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, int, int]] = []  # name; hidden, furniture and content elements around and including it
+    stack: list[tuple[str, bool, bool, Around | None]] = []  # name; in a hidden element, in a heading, and what is around, each with the element itself
     links = 0
 
     def flush() -> None:
@@ -103,8 +141,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             in_links = sum(len(p.split()) for p, link in parts if link)
             words = len(text.split())
-            _, _, furniture, content = stack[-1] if stack else ("", 0, 0, 0)
-            found.append(Block(text, words, min(words, in_links), furniture > 0, content > 0))
+            _, _, heading, around = stack[-1] if stack else ("", False, False, None)
+            found.append(Block(text, words, min(words, in_links), heading, around))
         parts.clear()
 
     for kind, value in _tokens(page):
@@ -142,41 +180,74 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] not in INLINE | {"p"}:
                     break
-        if name in INLINE and name != "a" and not _marked(value):
+        hides = name in HIDDEN or "hidden" in value and HIDES.search(value + ">") or "display" in value and HIDES.search(value)
+        if name in INLINE and name != "a" and not hides:
             continue
-        _, hidden, furniture, content = stack[-1] if stack else ("", 0, 0, 0)
-        body = name in ("html", "body")
-        stack.append((name, hidden + (name in HIDDEN), furniture + (not body and (name in FURNITURE or _marked(value))), content + (name in CONTENT)))
+        _, hidden, heading, around = stack[-1] if stack else ("", False, False, None)
+        if name not in INLINE and name not in ("html", "body"):
+            marks, role = _marks(value)
+            if name in CONTENT or name in FURNITURE or name == "header" or role or marks:
+                around = Around(around, name in CONTENT, name in FURNITURE or role, name == "form", name == "header", marks)
+        stack.append((name, bool(hidden or hides), heading or name in HEADINGS, around))
     flush()
     return found
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "content")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "header", "marks", "in_content", "outside", "in_other", "heading")
+
+
+def _content(page: list[Block]) -> Around | None:
+    """The content element that holds most words of its own; those marked or inside marked ones only where there is no other."""
+    roots: dict[int, tuple[Around, bool]] = {}
+    for b in page:
+        for i, x in enumerate(chain := b.chain()):
+            x.words += b.words
+            x.blocks += 1
+            if x.content and not any(y.content for y in chain[:i]):
+                x.own_words += b.words
+                roots.setdefault(id(x), (x, any(y.marks == 2 for y in chain[i:])))
+    open_ = [x for x, marked in roots.values() if not marked] or [x for x, _ in roots.values()]
+    return max(open_, key=lambda x: x.own_words, default=None)
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """A row for each block. content is 1 inside an element for content, -1 outside where the page has one, else 0."""
-    has = any(b.content and not b.furniture for b in page)
+    """A row for each block.
+
+    in_content: inside the page's content element, or 0.5 in one around that; outside: the
+    page has one, elsewhere; in_other: inside another content element; header: in a header
+    outside the content element, but not a heading. furniture, header
+    and marks come from the elements between the block and the content element; those
+    around the content element, and wrappers of most of a page without one, say nothing.
+    """
+    root = _content(page)
+    beyond = set()
+    at = root
+    while at is not None:
+        beyond.add(id(at))
+        at = at.parent
+    total = sum(b.words for b in page)
     own = [(b.words, b.density) for b in page]
     around = [(0, 0.0), *own, (0, 0.0)]
-    rows = [(*own[i], *around[i], *around[i + 2], float(b.furniture), 1.0 if b.content and has else -1.0 if has else 0.0) for i, b in enumerate(page)]
+    rows = []
+    for i, b in enumerate(page):
+        furniture = header = other = False
+        marks, inside = 0, 0.0
+        for x in b.chain():
+            if x is root:
+                inside = 1.0
+                break
+            if id(x) in beyond:
+                inside = max(inside, 0.5 * x.content)
+                continue
+            if root is None and (x.form or x.marks and not x.furniture) and x.words > WRAPPER_SHARE * total and x.blocks >= WRAPPER_BLOCKS:
+                continue
+            furniture, header, other, marks = furniture or x.furniture, header or x.header, other or x.content, max(marks, x.marks)
+        rows.append((*own[i], *around[i], *around[i + 2], furniture, header and not inside and not b.heading, marks, inside, root is not None and not inside, other, b.heading))
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 
 
-#: The labelled table: pages as (html, keep) of each block.
-LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty and more words after those"
-MID = "a line of eleven words stands here to be read fully"
-LABELLED = [
-    [("<nav><ul><li><a href=1>Home</a>", 0), ("<li><a href=2>News</a></ul></nav>", 0), ("<article><h1>A title of five words</h1>", 1), (f"<p>{LONG}</p>", 1), ("<p>Yes.</p>", 1), (f"<p>{MID}</p></article>", 1), (f"<footer>Made by us {MID}</footer>", 0)],
-    [("<div class=menu><a href=1>Home</a></div>", 0), (f"<div class=ad>{LONG}</div>", 0), (f"<main><h2>Head</h2>", 1), (f"<p>{LONG} <a href=3>see it</a></p>", 1), ("<p><a href=4>A link by itself</a></p>", 1), (f"<aside>{LONG}</aside>", 0), (f"<p>{MID}</p></main>", 1), (f"<div class=comments><p>{LONG}</p></div>", 0)],
-    [("<div><a href=1>Home</a> | <a href=2>About us</a></div>", 0), ("<h1>Title of the text</h1>", 1), (f"<p>{LONG}</p>", 1), (f"<p>{MID}</p>", 1), (f"<p>{LONG} {MID}</p>", 1), ("<p>So it was.</p>", 1), (f"<p>{LONG}</p>", 1), ("<div><a href=5>Next page of this</a></div>", 0), ("<div><a href=6>Imprint</a></div>", 0)],
-    [("<header>The daily paper</header>", 0), (f"<div id=cookie-notice>{LONG}</div>", 0), (f"<article><p>{LONG}</p>", 1), (f"<form>{MID}</form>", 0), (f"<p>{LONG}</p></article>", 1), (f"<div>{MID}</div>", 0), (f"<p>{LONG}</p>", 0)],
-    [("<p><a href=1>One</a></p>", 0), ("<p><a href=2>Two and three</a></p>", 0), (f"<p>{LONG}</p>", 1), (f"<p>{LONG}</p>", 1), ("<p>End.</p>", 1), (f"<p>{MID}</p>", 1), ("<p><a href=1>Four</a></p>", 0)],
-    [(f"<article><p>{MID}</p>", 1), ("<p>Short one</p>", 1), ("<p>Short two</p></article>", 1), (f"<footer><a href=2>Contact</a> {MID}</footer>", 0)],
-    [(f"<p>{MID}</p>", 1), (f"<p>{LONG}</p>", 1)],
-    [("<p>Only these few words.</p>", 1)],
-    [(f"<nav>{LONG}</nav>", 0), (f"<p>{LONG}</p>", 1), (f"<footer>{LONG}</footer>", 0)],
-]
+#: Blocks of the labelled table in a leaf of the tree at least.
+LEAST = 4
 
 
 @dataclass(frozen=True)
@@ -190,8 +261,8 @@ class Split:
     keep: bool = False
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Split:
-    """A binary tree of splits that lower the Gini impurity most; the first feature and limit win ties."""
+def train(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = LEAST) -> Split:
+    """A binary tree of splits that lower the Gini impurity most, with ``least`` blocks on either side; the first feature and limit win ties."""
     keep = bool(2 * y.sum() >= len(y))
     if depth == 0 or y.all() or not y.any():
         return Split(-1, keep=keep)
@@ -200,18 +271,19 @@ def train(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Split:
         values = np.unique(x[:, feature])
         for limit in (values[1:] + values[:-1]) / 2:
             below = x[:, feature] <= limit
+            if not least <= below.sum() <= len(y) - least:
+                continue
             impurity = sum(part.sum() * share * (1 - share) for part in (below, ~below) for share in (y[part].mean(),))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, feature, float(limit), below)
     if best is None:
         return Split(-1, keep=keep)
     _, feature, limit, below = best
-    return Split(feature, limit, train(x[below], y[below], depth - 1), train(x[~below], y[~below], depth - 1))
+    return Split(feature, limit, train(x[below], y[below], depth - 1, least), train(x[~below], y[~below], depth - 1, least))
 
 
 def trained() -> Split:
-    pages = [("".join(h for h, _ in page), [k for _, k in page]) for page in LABELLED]
-    found = [(features(blocks(h)), np.array(keep, bool)) for h, keep in pages]
+    found = [(features(blocks(page)), np.array(keep, bool)) for page, keep in labelled_pages()]
     return train(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
 
@@ -230,8 +302,9 @@ def extract(pages: DataFrame, tree: Split | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html).
 
     text is the main text: kept blocks in page order, one on a line; empty for null or
-    empty html and where nothing is kept. n_chars counts its code points. Repeated rows
-    give equal results; other columns aren't read.
+    empty html and where nothing is kept. n_chars counts its code points. Whole pages are
+    read, however long. Repeated rows give equal results; other columns aren't read, so
+    they can't clash; an empty table gives no rows.
     """
     tree = tree or trained()
 
