@@ -21,8 +21,8 @@ from motorlake.llm.arrow import mapper, texts
 
 #: An item counts as held if at most (1 - SIMILARITY) of its words are edited.
 SIMILARITY = 0.8
-#: Items of fewer words don't identify a text.
-MIN_WORDS = 5
+#: Items of fewer words are left out; the corpus pipeline asks for five.
+MIN_WORDS = 1
 #: Words in a section of an item at most.
 SECTION_WORDS = 40
 #: Random walks, samples of each, and places in a sample.
@@ -45,12 +45,6 @@ def allowed(length: int, similarity: float = SIMILARITY) -> int:
     return int(length * (1 - similarity) + 1e-9)
 
 
-def window_length(length: int) -> int:
-    """Sections of nearly equal length share windows: the exact length up to 15 words, then steps of an 8th."""
-    step = 1 << max(0, length.bit_length() - 4)
-    return length // step * step
-
-
 def sections(length: int, most: int | None = None) -> list[tuple[int, int]]:
     """(offset, length) of the sections of an item, SECTION_WORDS long at most; their lengths differ by one at most."""
     n = -(-length // (most or SECTION_WORDS))
@@ -83,7 +77,7 @@ class Items:
     """The sections of benchmark items in hash tables, one set of tables for each window length."""
 
     def __init__(self, rows: list[tuple[int, str | None]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, seed: int = 11) -> None:
-        kept = [(i, w) for i, w in ((i, item_words(t)) for i, t in rows) if len(w) >= min_words]
+        kept = [(i, w) for i, w in ((i, item_words(t)) for i, t in rows) if len(w) >= max(1, min_words)]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in kept for w in ws}))}
         self.unknown = len(self.vocabulary)
         self.ids = [i for i, _ in kept]
@@ -100,7 +94,7 @@ class Items:
         by_length: dict[int, list[int]] = defaultdict(list)
         for n, ws in enumerate(self.words):
             for offset, size in sections(len(ws)):
-                by_length[window_length(size)].append(len(self.sections))
+                by_length[size].append(len(self.sections))
                 self.sections.append((n, offset))
                 shares.append(allowed(size, similarity))
         chance = np.random.default_rng(seed)
@@ -221,8 +215,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     A document holds an item if a run of its words is at most (1 - ``similarity``) of the
     item's words away in edits. Words are runs of letters, digits and underscores in lower
-    case. Items of fewer than ``min_words`` words and null texts hold nothing. Repeated rows
-    of either table give rows each. Other columns aren't read; empty tables give no rows.
+    case. An item of fewer than five words has to be there word by word: an equal window has
+    equal keys in all tables, so none is missed. Items of fewer than ``min_words`` words, items
+    without words and null texts hold nothing. Whole texts are searched, however long. Repeated
+    rows of either table give rows each. Other columns aren't read, so they can't clash; empty
+    tables give no rows.
     The benchmark goes to all tasks in passes of PASS_CHARS characters at most.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")

@@ -16,6 +16,10 @@ from motorlake.llm.line_dedup import line_dedup
 from motorlake.session import ship
 
 
+#: Benchmark items of fewer words don't identify a text, so no document goes for them.
+LEAK_WORDS = 5
+
+
 def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id and text are in ``rows`` (doc_id, text_key, distinct); null ids match."""
     wanted = rows.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
@@ -60,7 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops rows whose text holds a benchmark item."""
     ship(spark)
     row = F.xxhash64("doc_id", text_hash(F.col("text")))
-    held = decontaminate.leaks(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_dropped_row")).distinct()
+    held = decontaminate.leaks(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), min_words=LEAK_WORDS).select(F.col("doc_id").alias("_dropped_row")).distinct()
     return docs.join(held.hint("shuffle_hash"), row == F.col("_dropped_row"), "left_anti")
 
 

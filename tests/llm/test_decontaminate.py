@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from motorlake.llm.decontaminate import Items, allowed, edits, item_words, leaks, sections, window_length
+from motorlake.llm.decontaminate import Items, allowed, edits, item_words, leaks, sections
 
 WORDS = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 300
 
@@ -38,10 +38,11 @@ def edited(chance, words, n):
     return out
 
 
-@pytest.mark.parametrize(("share", "recall"), [(0.0, 1.0), (0.1, 0.99), (0.2, 0.9)])
-def test_recall_of_edited_items(share, recall):
+@pytest.mark.parametrize("sizes", [(5, 9), (10, 11), (12, 60), (61, 120)])
+@pytest.mark.parametrize(("share", "recall"), [(0.0, 1.0), (0.1, 0.98), (0.2, 0.9)])
+def test_recall_of_edited_items(share, recall, sizes):
     chance = random.Random(7)
-    rows = [(i, " ".join(chance.choice(WORDS) for _ in range(chance.randint(12, 60)))) for i in range(60)]
+    rows = [(i, " ".join(chance.choice(WORDS) for _ in range(chance.randint(*sizes)))) for i in range(60)]
     items = Items(rows)
     documents, planted = [], set()
     for d in range(240):
@@ -64,16 +65,13 @@ def test_clean_documents_are_left_alone():
     assert items.search([[chance.choice(WORDS) for _ in range(500)] for _ in range(100)]) == []
 
 
-def test_window_lengths():
-    assert [window_length(n) for n in (5, 15, 16, 17, 31, 33, 63, 64, 71, 100)] == [5, 15, 16, 16, 30, 32, 60, 64, 64, 96]
-
-
 def test_rows(spark, documents):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "too short"), (1, passage)], "item_id bigint, text string")
     rows = documents([(1, f"before it {passage.upper()} and after"), (2, passage.replace("five", "FIVE!")), (3, None), (4, ""), (5, passage.replace("five", "5").replace("nine", "9")), (6, passage.replace("one two three four five", "")), (7, "too short"), (None, passage), (1, f"before it {passage.upper()} and after")])
     got = sorted((r["doc_id"] or -1, r["item_id"], r["distance"]) for r in leaks(rows, bench).collect())
-    assert got == sorted([(-1, 1, 0), (1, 1, 0), (1, 1, 0), (2, 1, 0), (5, 1, 2)] * 2)
+    assert got == sorted([(-1, 1, 0), (1, 1, 0), (1, 1, 0), (2, 1, 0), (5, 1, 2)] * 2 + [(7, 4, 0)])
+    assert {r["doc_id"] for r in leaks(rows, bench, min_words=5).collect()} == {None, 1, 2, 5}
     assert leaks(rows.limit(0), bench).count() == 0 and leaks(rows, bench.limit(0)).count() == 0
 
 
@@ -94,7 +92,7 @@ def test_corpus_against_every_pair(spark, corpus, small):
         words = item_words(r["text"])
         seen = set(words)
         for i, item in items:
-            if sum(w in seen for w in item) >= len(item) - allowed(len(item)) and len(item) >= 5:
+            if sum(w in seen for w in item) >= len(item) - allowed(len(item)):
                 if plain_edits(item, words) <= allowed(len(item)):
                     want.add((r["doc_id"], i))
     assert {(r["doc_id"], r["item_id"]) for r in leaks(corpus, bench).collect()} == want
@@ -134,3 +132,17 @@ def test_shortened_item_at_the_end():
     for before in ([], [["other"] * 30], [short, ["other"]]):
         found = [(d, e) for d, _, e, _ in items.search([*before, short])]
         assert found[-1:] == [(len(before), 2)]
+
+
+def test_short_items_are_found_word_by_word():
+    items = Items([(0, "w1"), (1, "w1 w2"), (2, "w5 w5 w6"), (3, "w7 w8 w9 w10"), (4, "..."), (5, None)])
+    documents = [["w1"], ["w2", "w1"], ["w0", "w1", "w2"], ["w5", "w5", "w5", "w6"], ["w7", "w8", "w9"], ["w7", "w8", "w9", "w10", "x"], ["w5", "w6"], []]
+    assert sorted((d, n, e) for d, n, e, _ in items.search(documents)) == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (2, 1, 0), (3, 2, 0), (5, 3, 0)]
+
+
+def test_long_texts_and_clashing_columns(spark, documents):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(1, passage, "own")], "item_id bigint, text string, doc_id string")
+    rows = documents([(1, "word " * 600_000 + passage + " more" * 600_000), (2, "word " * 600_000)])
+    found = leaks(rows.selectExpr("*", "'own' as item_id", "'own' as distance"), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["end_word"]) for r in found] == [(1, 1, 600_012)]
