@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from motorlake.llm.arrow import mapper, texts
 
@@ -23,7 +24,7 @@ PROFILE = 400
 #: The profiles are fitted on about so many labelled documents of each language, chosen by a hash of doc_id.
 TRAINING_DOCS = 5_000
 UNDETERMINED = "und"
-#: Characters counted at once; a longer text is cut at white space where there is any near.
+#: Characters counted at once.
 CHUNK = 1 << 18
 SPACE = 32
 
@@ -33,32 +34,28 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _chunks(text: str) -> list[str]:
-    parts, at = [], 0
-    while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            near = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = near + 1 if near > end - 1000 else end
-        parts.append(text[at:end])
-        at = end
-    return parts
-
-
-def _codes(text: str) -> np.ndarray:
-    """The n-grams of 1 to 3 characters of a text's words in lower case, padded by a space on either side; 21 bits for each character."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    seen = np.where(_letters()[points], points, SPACE)
-    seen = np.concatenate(([SPACE], seen, [SPACE]))
-    seen = seen[np.concatenate(([True], (seen[1:] != SPACE) | (seen[:-1] != SPACE)))]
+def _codes(lowered: str, carry: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of 1 to 3 characters that end in a part of a lower-cased text, 21 bits for each character, and what the next part has to carry on.
+
+    All but letters are spaces, and several of these one; a text has one on either side.
+    """
+    points = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    seen = np.concatenate((carry, np.where(_letters()[points], points, SPACE), [SPACE] if last else []))
+    seen = seen[np.concatenate(([True], (seen[1:] != SPACE) | (seen[:-1] != SPACE)))].astype(np.int64)
+    before = len(carry)
     pairs = seen[:-1] << 21 | seen[1:]
-    triples = (pairs[:-1] << 21 | seen[2:])[seen[1:-1] != SPACE]
-    return np.concatenate((seen[seen != SPACE], pairs, triples)) if len(seen) > 1 else seen[:0]
+    triples = pairs[:-1] << 21 | seen[2:]
+    own = seen[before:]
+    codes = (own[own != SPACE], pairs[before - 1 :], triples[max(0, before - 2) :][seen[1:-1][max(0, before - 2) :] != SPACE])
+    return np.concatenate(codes), seen[-2:]
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a whole text, ascending, and how often each occurs."""
-    found = [np.unique(_codes(part), return_counts=True) for part in _chunks(text)]
+    """The distinct n-grams of a whole text, ascending, and how often each occurs; counted CHUNK characters at a time, those across the cuts too."""
+    lowered, carry, found = text.lower(), np.array([SPACE]), []
+    for at in range(0, len(lowered), CHUNK):
+        codes, carry = _codes(lowered[at : at + CHUNK], carry, at + CHUNK >= len(lowered))
+        found.append(np.unique(codes, return_counts=True))
     return merged(found) if len(found) != 1 else found[0]
 
 
@@ -109,13 +106,11 @@ def fit_profiles(labelled: DataFrame, training_docs: int = TRAINING_DOCS, profil
     return Profiles(langs, known, ranks)
 
 
-def predict(text: str, profiles: Profiles, profile: int = PROFILE) -> tuple[str | None, float]:
-    """The language and the score of a text; of equally frequent n-grams the one with the smaller code ranks first. No language where no profile was learned."""
+def predict(text: str, profiles: Profiles, profile: int = PROFILE) -> tuple[str, float]:
+    """The language and the score of a text; of equally frequent n-grams the one with the smaller code ranks first. Undetermined where there is no letter, or no profile was learned."""
     codes, counts = grams(text)
-    if not len(codes):
+    if not len(codes) or not profiles.langs:
         return UNDETERMINED, 0.0
-    if not profiles.langs:
-        return None, 0.0
     own = codes[np.argsort(-counts, kind="stable")[:profile]]
     places = np.minimum(np.searchsorted(profiles.grams, own), len(profiles.grams) - 1)
     found = profiles.grams[places] == own
@@ -125,18 +120,24 @@ def predict(text: str, profiles: Profiles, profile: int = PROFILE) -> tuple[str
     return profiles.langs[best], float(1 - far[best] / (profile * len(own)))
 
 
-def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE) -> DataFrame:
-    """doc_id, lang_pred, score for each row of ``docs`` (doc_id, text); nothing else is read.
+def identify(docs: DataFrame, profiles: Profiles, profile: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns more, ``names``: the language of each row's text, and a score. The texts aren't shuffled.
 
-    lang_pred is a language of the profiles, or ``und`` if the text is null or has no
-    letter; null if nothing was learned, so that no such text counts as rejected. score is 1 minus the distance as a share of the largest
-    possible one; ties go to the first language in order. Repeated rows get equal results.
+    The language is one of the profiles, or ``und`` if the text is null or has no letter,
+    or if nothing was learned. score is 1 minus the distance as a share of the largest
+    possible one; ties go to the first language in order. Whole texts are read, however
+    long. Repeated rows get equal results; an empty table gives none. Columns with one of
+    the names are replaced.
     """
+    docs = docs.drop(*names)
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [predict(t, profiles, profile) for t in texts(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+        more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step), "doc_id bigint, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.mapInArrow(mapper(step), schema)
 
 
 def held_out() -> Column:
@@ -145,6 +146,7 @@ def held_out() -> Column:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """Fit on the labelled rows that aren't held out, then identify all: doc_id, held_out, lang_pred, score."""
+    """Fit on the labelled rows that aren't held out, then identify all: doc_id, held_out, lang_pred, score. Other columns than doc_id, text and lang aren't read."""
     profiles = fit_profiles(docs.where(~held_out()))
-    return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return identify(own, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

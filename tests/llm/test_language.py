@@ -37,11 +37,13 @@ def test_counts_match_a_plain_count():
 
 
 def test_long_texts_in_chunks(monkeypatch):
-    text = "some words and more " * 50
-    whole = language.grams(text)
-    monkeypatch.setattr(language, "CHUNK", 200)
-    for a, b in zip(whole, language.grams(text)):
-        assert np.array_equal(a, b)
+    texts = ["some words and more " * 50, "x" * 900, "ab" * 400 + "  --  " * 40 + "Σίσυφος ΣΑΣ", "1" * 500 + "a", "a" + " " * 500, ""]
+    whole = [language.grams(t) for t in texts]
+    for size in (1, 2, 3, 7, 200):
+        monkeypatch.setattr(language, "CHUNK", size)
+        for text, found in zip(texts, whole):
+            for a, b in zip(found, language.grams(text)):
+                assert np.array_equal(a, b)
 
 
 def test_edges(documents):
@@ -50,4 +52,33 @@ def test_edges(documents):
     got = [(r["doc_id"], r["lang_pred"]) for r in language.language_id(rows).collect() if r["doc_id"] >= 100]
     assert sorted(got) == [(100, "und"), (101, "und"), (102, "und"), (103, "de"), (103, "de"), (104, "de"), (105, "en")]
     assert language.language_id(rows.limit(0)).count() == 0
-    assert {r["lang_pred"] for r in language.language_id(documents([(1, "no label", None)])).collect()} == {None}
+    assert {r["lang_pred"] for r in language.language_id(documents([(1, "no label", None)])).collect()} == {"und"}
+
+
+def test_profiles_against_brute_force(documents):
+    """Ranks and out-of-place distances by plain Python over a few texts."""
+    train = {"en": ["the cat and the dog and the other dog", "this and that"], "de": ["der hund und die katze", "das und dieses und jenes"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in train.items() for t in ts)]
+
+    def ranked(*texts):
+        counts = {}
+        for t in texts:
+            codes, n = language.grams(t)
+            for c, k in zip(codes.tolist(), n.tolist()):
+                counts[c] = counts.get(c, 0) + k
+        return {c: r for r, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[:60])}
+
+    profiles = language.fit_profiles(documents(rows), profile=60)
+    want = {lang: ranked(*ts) for lang, ts in train.items()}
+    assert profiles.langs == ["de", "en"]
+    for text in ("the hound", "und der", "zebra", "and die"):
+        own = ranked(text)
+        far = {lang: sum(abs(r - known[c]) if c in known else 60 for c, r in own.items()) for lang, known in want.items()}
+        best = min(sorted(far), key=far.get)
+        assert language.predict(text, profiles, 60) == (best, 1 - far[best] / (60 * len(own)))
+
+
+def test_clashing_columns(documents):
+    rows = documents([(i, "the cat and the dog", "en") for i in range(8)])
+    out = language.language_id(rows.selectExpr("*", "'own' as lang_pred", "'own' as score", "'own' as held_out"))
+    assert {r["lang_pred"] for r in out.collect()} == {"en"}
