@@ -20,10 +20,15 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
-LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,80}\r?\n[\x20\t]*)+[A-Za-z0-9+/]{1,80}={0,2}(?![A-Za-z0-9+/=])")
+#: Three dotted parts; a lookahead, so that parts before a header don't use it up.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*))")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:0[xX])?([0-9A-Fa-f]{48,})(?![0-9A-Fa-f])")
+#: How base64 of a SEQUENCE, of an algorithm name with its length, and of the private key marker begins; behind a separator inside a run, only these are tried.
+STARTS = re.compile(r"(?:^|(?<=[/_-]))(?=M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE)")
+CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*[0-9A-Fa-f]{16,32}\s*$", re.MULTILINE)
 
 Span = tuple[int, int, str]
 
@@ -117,25 +122,60 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def is_pem(body: str) -> bool:
+    """What stands between the armour lines: a key or certificate, or data ciphered as its headers say. Line ends may be escaped, as in JSON."""
+    lines = body.replace("\\r", "\n").replace("\\n", "\n").split("\n")
+    heads = [line for line in lines if ":" in line]
+    data = unbase64("".join("".join(line.split()) for line in lines if ":" not in line))
+    if not data:
+        return False
+    if any(line.strip().startswith("Proc-Type") and "ENCRYPTED" in line for line in heads):
+        return len(data) % 8 == 0 and any(CIPHER.search(line.strip()) for line in heads)
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def _kind(data: bytes | None) -> str | None:
+    return None if not data else "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
+def _fits(text: str) -> bool:
+    """Whether a SEQUENCE that starts here would end with the text; a quick look at its length."""
+    head = unbase64(text[:8]) or b""
+    if head[:1] != b"\x30" or len(head) < 6:
+        return head[:1] in (b"\x00", b"o")
+    size, n = head[1], head[1] & 0x7F
+    total = 2 + size if size < 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+    return total == len(text.rstrip("=")) * 3 // 4
+
+
 def confirmed_spans(text: str) -> list[Span]:
-    """Candidates whose decoded structure is that of a key or signed token."""
+    """Candidates whose decoded structure is that of a key or signed token; of those inside another one, only the outer."""
     found: list[Span] = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                found.append((*m.span(), "pem"))
+        found += [(*m.span(), "pem") for m in PEM.finditer(text) if is_pem(m[2])]
     if max(map(len, text.split()), default=0) < 18:
         return found
-    found += [(*m.span(), "jwt") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
+    found += [(*m.span(1), "jwt") for m in SIGNED.finditer(text) if is_signed_token(m[1])]
+    for m in WRAPPED.finditer(text):
+        if kind := _kind(unbase64("".join(m[0].split()))):
+            found.append((*m.span(), kind))
     for m in RUN.finditer(text):
-        forms = [unbase64(m[0])]
-        if (h := LONG_HEX.fullmatch(m[0])) and len(h[0]) % 2 == 0:
-            forms.append(bytes.fromhex(h[0]))
-        kind = next((k for data in forms if data for k, test in (("der", is_der_key), ("ssh", is_ssh_key)) if test(data)), None)
-        if kind and not any(a <= m.start() < b for a, b, k in found if k == "pem"):
+        if kind := _kind(unbase64(m[0])):
             found.append((*m.span(), kind))
-    return found
+            continue
+        for start in STARTS.finditer(m[0]):
+            rest = m[0][start.start() :]
+            if start.start() and _fits(rest) and (kind := _kind(unbase64(rest))):
+                found.append((m.start() + start.start(), m.end(), kind))
+                break
+    for m in LONG_HEX.finditer(text):
+        if len(m[1]) % 2 == 0 and (kind := _kind(bytes.fromhex(m[1]))):
+            found.append((*m.span(), kind))
+    outer: list[Span] = []
+    for span in sorted(set(found), key=lambda s: (s[0], -s[1], KINDS.index(s[2]))):
+        if not any(a <= span[0] and span[1] <= b for a, b, _ in outer):
+            outer.append(span)
+    return outer
 
 
 def in_order(spans: list[Span]) -> str:
@@ -147,8 +187,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by start, then in the order
     of KINDS. The kinds pem, jwt, der and ssh are candidates confirmed by structure;
-    base spans stay whether confirmed or not. Null text is empty and has no spans; every
-    row gives a row, repeated ones too; other columns aren't read.
+    base spans stay whether confirmed or not. Null text is empty and has no spans; whole
+    texts are searched, however long. Every row gives a row, repeated ones too; other
+    columns aren't read, so they can't clash; an empty table gives no rows.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -69,3 +69,33 @@ def test_rows(documents, corpus):
         assert r["base_spans"] == brute(texts[r["doc_id"]] or "")
         assert set(r["base_spans"].split(",")) <= set(r["spans"].split(","))
     assert KINDS[:3] == ("assign", "access", "hex")
+
+
+BODY = base64.b64encode(KEY).decode()
+CIPHERED = base64.b64encode(b"c" * 64).decode()
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"key": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(re.findall(".{1,64}", BODY)) + '\\n-----END PRIVATE KEY-----"}', ["pem"]),
+        (f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{CIPHERED}\n-----END RSA PRIVATE KEY-----", ["pem"]),
+        (f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{CIPHERED}\n-----END RSA PRIVATE KEY-----", []),
+        ("key:\n" + "\n".join(re.findall(".{1,64}", BODY)) + "\nend", ["der"]),
+        (f"0x{KEY.hex()}", ["der"]),
+        (f"key_{KEY.hex()}", ["der"]),
+        (f"/etc/keys/{BODY}", ["der"]),
+        (f"name-of-it_{BODY}", ["der"]),
+        (f"bearer.something.{TOKEN}", ["jwt"]),
+        (f"{TOKEN} and {TOKEN}", ["jwt", "jwt"]),
+        ("M" * 200_000 + " " + "/MA" * 50_000, []),
+        ("a." * 100_000, []),
+    ],
+)
+def test_keys_as_they_are_found(text, want):
+    assert kinds(text) == want
+
+
+def test_clashing_columns(documents):
+    rows = documents([(1, "token = abcdefgh")]).selectExpr("*", "'own' as spans", "'own' as n_assign")
+    assert [(r["n_assign"], r["spans"]) for r in scan_secrets(rows).collect()] == [(1, "assign:0:16")]
