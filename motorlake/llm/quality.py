@@ -10,15 +10,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motorlake.llm.common import let, words
+from motorlake.llm.common import fresh, let, words
 
-#: Frequent function words of English, German, French and Spanish.
-STOP_WORDS = (
-    "the of and to in that is was for with "
-    "der die und den von zu das mit ist nicht "
-    "le la les de des et une dans que pour "
-    "el los las y en por con una del se"
-).split()
+#: Frequent function words by language. A corpus with other languages passes a table with theirs.
+STOP_WORDS = {
+    "en": "the of and to in that is was for with".split(),
+    "de": "der die und den von zu das mit ist nicht".split(),
+    "fr": "le la les de des et une dans que pour".split(),
+    "es": "el los las y en por con una del se".split(),
+}
 
 
 @dataclass(frozen=True)
@@ -67,8 +67,9 @@ def repeated_words(ws: Column, n: int = WINDOW) -> Column:
     return let(hashes, counted).cast("bigint")
 
 
-def measures(text: Column) -> Column:
+def measures(text: Column, stop_words: dict[str, list[str]] = STOP_WORDS) -> Column:
     """A struct of all counts of a text; null counts as a text without words."""
+    stops = sorted({w for own in stop_words.values() for w in own})
     body = F.coalesce(text, F.lit(""))
     total = lambda ws, size: F.aggregate(ws, F.lit(0).cast("bigint"), lambda n, w: n + size(w))
 
@@ -81,7 +82,7 @@ def measures(text: Column) -> Column:
             "n_lines": F.size(lines),
             "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
             "n_repeat_words": repeated_words(ws),
-            "n_stop": F.size(F.filter(ws, lambda w: F.lower(w).isin(STOP_WORDS))),
+            "n_stop": F.size(F.filter(ws, lambda w: F.lower(w).isin(stops))),
             "n_alpha_words": F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))),
             "n_upper": F.regexp_count(x["t"], F.lit(r"\p{Lu}")),
             "n_bang_words": F.size(F.filter(ws, lambda w: w.endswith("!"))),
@@ -112,18 +113,21 @@ def failed(rule: Rule, metrics: dict[str, Column]) -> Column:
     return tests[0] | tests[1] if len(tests) == 2 else tests[0]
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: dict[str, list[str]] = STOP_WORDS) -> DataFrame:
     """``docs`` with the counts, base_failed, kept, and failed_rules (array<string>, table order).
 
-    base_failed: n_words < 10, or 100 * n_repeat_words > 20 * n_words. kept is false if
-    base_failed, else true if no rule of the table fails. Null and empty texts have no
-    words: base_failed. Repeated rows are judged alike; other columns pass through, those
-    with the name of a result are replaced; empty tables give empty results.
+    base_failed: n_words < 10, or 100 * n_repeat_words > 20 * n_words, where windows count as
+    equal if 64 bits of hash are. kept is false if base_failed, else true if no rule of the
+    table fails. ``stop_words`` are words by language; texts in others have to pass without
+    them, or a table without the rule. Null and empty texts have no words: base_failed.
+    Repeated rows are judged alike; other columns pass through, those with the name of a
+    result are replaced; empty tables give empty results.
     """
-    m = F.col("_measures")
-    counted = docs.withColumn("_measures", measures(F.col("text")))
+    held = fresh(docs, "measures")
+    m = F.col(held)
+    counted = docs.withColumn(held, measures(F.col("text"), stop_words))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     metrics = ratios(m)
     fails = F.array_compact(F.array(*[F.when(failed(r, metrics), F.lit(r.metric)) for r in rules]))
-    return counted.withColumns({k: m[k] for k in names} | {"base_failed": base, "failed_rules": fails}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_measures")
+    return counted.withColumns({k: m[k] for k in names} | {"base_failed": base, "failed_rules": fails}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(held)
