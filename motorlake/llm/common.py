@@ -67,3 +67,11 @@ def words(text: Column) -> Column:
 def text_hash(text: Column) -> Column:
     """Tells rows with the same doc_id and different texts apart; null and empty differ."""
     return F.xxhash64(F.when(text.isNull(), F.lit(0)).otherwise(F.lit(1)), text)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -210,6 +210,29 @@ class Items:
 SCHEMA = "doc_id bigint, item_id bigint, distance int, item_words int, similarity double, end_word bigint"
 
 
+def _passes(benchmark: DataFrame, similarity: float, min_words: int):
+    """The benchmark's items, ready for the tasks, in passes of PASS_CHARS characters at most."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    passes = -(-size // PASS_CHARS)
+    for turn in range(passes):
+        rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == turn).orderBy("item_id", "text").collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(rows, similarity, min_words))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns; what holds one is said at leaks(). Nothing is shuffled."""
+    for sent in _passes(benchmark, similarity, min_words):
+
+        def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[d for d, *_ in sent.value.search([item_words(t) for t in texts(batch)])]] = False
+            return batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(mapper(step), docs.schema)
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each document and benchmark item that it holds; clean documents have none.
 
@@ -222,14 +245,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     tables give no rows.
     The benchmark goes to all tasks in passes of PASS_CHARS characters at most.
     """
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    passes = -(-size // PASS_CHARS)
     documents = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
     found = None
-    for turn in range(passes):
-        rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == turn).orderBy("item_id", "text").collect()]
-        sent = documents.sparkSession.sparkContext.broadcast(Items(rows, similarity, min_words))
+    for sent in _passes(benchmark, similarity, min_words):
 
         def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             held = sent.value

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motorlake.llm.common import WHITE, ascii_lower, let, stored, text_hash
+from motorlake.llm.common import WHITE, ascii_lower, fresh, let, stored, text_hash
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -82,7 +82,7 @@ def keep_lines(lines: Column, dropped: Column) -> Column:
     return let(F.struct(lines.alias("l"), dense(dropped).alias("b")), lambda s: F.filter(s["l"], lambda _, i: bit(s["b"], i) == 0))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
     """``docs`` with ``text`` after line dedup and columns n_lines, n_dropped (long).
 
     A text is split at \\n; null or empty is one empty line. A line's key is the line
@@ -92,13 +92,15 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     Repeated rows: the same doc_id counts as one document, so all its rows keep a line
     that the doc_id keeps; each row's bitmap is its own. Null doc_ids are one document,
-    smaller than all others. Other columns pass through; columns named n_lines or
-    n_dropped are replaced. Empty tables give empty results.
+    smaller than all others. Other columns pass through, whatever their names; columns
+    named n_lines or n_dropped are replaced, or pass through too without ``counts``.
+    Empty tables give empty results.
     """
-    inner = ["_mark_key", "_mark_id", "_mark_dropped"]
-    bitmaps = dropped_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("_mark_id"), F.col("text_key").alias("_mark_key"), F.col("dropped").alias("_mark_dropped"))
-    left = docs.withColumn("_text_key", text_hash(F.col("text")))
-    joined = left.join(bitmaps.hint("shuffle_hash"), F.col("_text_key").eqNullSafe(F.col("_mark_key")) & F.col("doc_id").eqNullSafe(F.col("_mark_id")), "left")
-    n_lost = F.aggregate(F.coalesce(F.col("_mark_dropped"), F.array().cast("array<struct<word:int,bits:bigint>>")), F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x["bits"]))
-    kept = F.when(F.col("_mark_dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(keep_lines(lines_of(F.col("text")), F.col("_mark_dropped")), "\n"))
-    return joined.withColumns({"n_lines": F.size(lines_of(F.col("text"))).cast("bigint"), "n_dropped": n_lost, "text": kept}).drop("_text_key", *inner)
+    row_key, mark_id, mark_key, mark = (fresh(docs, c) for c in ("row_key", "mark_id", "mark_key", "mark_dropped"))
+    bitmaps = dropped_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias(mark_id), F.col("text_key").alias(mark_key), F.col("dropped").alias(mark))
+    left = docs.withColumn(row_key, text_hash(F.col("text")))
+    joined = left.join(bitmaps.hint("shuffle_hash"), F.col(row_key).eqNullSafe(F.col(mark_key)) & F.col("doc_id").eqNullSafe(F.col(mark_id)), "left")
+    n_lost = F.aggregate(F.coalesce(F.col(mark), F.array().cast("array<struct<word:int,bits:bigint>>")), F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x["bits"]))
+    kept = F.when(F.col(mark).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(keep_lines(lines_of(F.col("text")), F.col(mark)), "\n"))
+    more = {"n_lines": F.size(lines_of(F.col("text"))).cast("bigint"), "n_dropped": n_lost} if counts else {}
+    return joined.withColumns(more | {"text": kept}).drop(row_key, mark_id, mark_key, mark)

@@ -35,6 +35,7 @@ def rows():
 
 
 def without_unknown_language(docs):
+    """All rows of this fixture have a lang, so none is filled in."""
     return [d for d in docs if d[1] is not None and any(c.isalpha() for c in d[1])]
 
 
@@ -127,21 +128,26 @@ def test_stages_on_nulls_and_repeated_rows(spark, folder):
     left = {}
     for name, stage in corpus_pipeline.STAGES:
         left[name] = stage(spark, docs, folder).collect()
-    assert sorted(r["doc_id"] for r in left["language_id"]) == [5, 5, 5]  # a null id is one document, and one of its rows has no letter
+    assert sorted(r["doc_id"] or 0 for r in left["language_id"]) == [0, 5, 5, 5]  # each row by its own text
     assert len(left["line_dedup"]) == 6
-    assert sorted(r["doc_id"] for r in left["simhash_near_dedup"] if r["doc_id"] is not None) == [5, 6]
+    assert sorted((r["doc_id"], r["text"]) for r in left["simhash_near_dedup"] if r["doc_id"] is not None) == [(5, awkward[4][1]), (5, awkward[2][1]), (6, "")]
     assert len(left["decontamination"]) == 6
     assert len(left["sentencepiece"]) == 6 and all(r["round_trip"] for r in left["sentencepiece"])
 
 
 def test_stages_on_an_empty_table_with_clashing_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    clash = docs.withColumns({c: F.lit("own") for c in ("lang_pred", "score", "n_lines", "n_dropped", "fingerprint", "component_id", "item_id", "fp")})
-    for table in (docs.limit(0), clash.limit(0), clash):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
+    names = ("lang_pred", "_lang_pred", "score", "n_lines", "n_dropped", "fingerprint", "component_id", "component", "item_id", "fp", "text_key", "row_key", "mark_id", "mark_key", "mark_dropped", "gone_id", "gone_key", "rows", "row", "ids")
+    clash = docs.withColumns({c: F.concat(F.lit(f"own {c} "), F.col("doc_id")) for c in names}).withColumn("a map", F.create_map(F.lit("id"), F.col("doc_id")))
+    twice = clash.unionByName(clash.where("doc_id < 20"))
+    for table in (docs.limit(0), clash.limit(0), twice):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, table, folder)
             assert out.columns == table.columns
-            assert out.count() > 0 or table.isEmpty()
+            rows = out.collect()
+            assert rows or table.isEmpty()
+            assert all(r[c] == f"own {c} {r['doc_id']}" for r in rows for c in names), name
+            assert all(r["a map"] == {"id": r["doc_id"]} for r in rows if "a map" in r)
     assert corpus_pipeline.STAGES[-1][1](spark, clash, folder).count() == docs.count()
 
 
@@ -155,3 +161,25 @@ def test_clean_rows_with_null_and_repeated_ids_stay(spark, folder):
     assert sorted(left, key=repr) == sorted([x for x in made if BENCH not in x[1]], key=repr)
     left = [(r["doc_id"], r["text"]) for r in stages["simhash_near_dedup"](spark, docs.limit(6), folder).collect()]
     assert sorted(left, key=repr) == sorted([(None, a), (None, b), (3, c), (5, d)], key=repr)
+    made = spark.createDataFrame([(5, t, "en", None, 1) for t in (a, b, b, c)], docs.schema)
+    left = [(r["doc_id"], r["text"]) for r in stages["simhash_near_dedup"](spark, made, folder).collect()]
+    assert sorted(left) == sorted([(5, a), (5, b), (5, c)])  # one doc_id with texts of their own
+
+
+def test_missing_languages_are_filled_in(spark, folder):
+    made = [(i, "the cat and the dog and the bird", "en") for i in range(9)] + [(i, "der hund und die katze und das tier", "de") for i in range(9, 18)] + [(20, "die katze", None), (21, "the dog", None), (22, "the dog", "fr")]
+    docs = spark.createDataFrame([(i, t, lang, None, len(t)) for i, t, lang in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r["doc_id"]: r["lang"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, folder).collect()}
+    assert len(left) == 21 and (left[20], left[21], left[22]) == ("de", "en", "fr")
+
+
+def test_nothing_to_learn_from(spark, folder):
+    docs = spark.createDataFrame([(1, "some words", None, None, 1), (2, "12", None, None, 1), (3, None, None, None, 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [tuple(r) for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, folder).collect()] == [(1, "some words", None, None, 1)]
+
+
+def test_large_sets_of_dropped_rows_are_joined(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, folder).collect())
+    monkeypatch.setattr("motorlake.llm.stages.BROADCAST_ROWS", 0)
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, folder).collect()) == want
