@@ -9,19 +9,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from motorlake.llm.arrow import mapper, texts
+from motorlake.llm.vocabulary import KeptRuns, gather
 
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-KEPT_WORDS = 200_000
-KEPT_CHARS = 64
+#: Words searched side by side, and the longest of them, in bytes; longer ones are searched by themselves.
+TOGETHER = 1 << 15
+TOGETHER_BYTES = 64
 #: A word starts with markers; a line feed is in no piece, so texts fall apart there too.
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
@@ -111,11 +112,15 @@ class Codec:
     """Encodes and decodes in a worker; the ids of frequent words are kept."""
 
     def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
         self.base, self.check, self.value = pieces.base.tolist(), pieces.check.tolist(), pieces.value.tolist()
         self.ids, self.scores, self.byte_ids = pieces.ids.tolist(), pieces.scores.tolist(), pieces.byte_ids.tolist()
-        self.unknown_id, self.surface = pieces.unknown_id, pieces.surface
+        self.unknown_id = pieces.unknown_id
         self.unknown_score = min(self.scores, default=0.0) - UNKNOWN_PENALTY
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.surface = np.frombuffer(b"".join(pieces.surface), np.uint8)
+        self.surface_sizes = np.array([len(x) for x in pieces.surface], np.int64)
+        self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
+        self.kept = KeptRuns(np.int32)
 
     def viterbi(self, word: str) -> tuple[int, ...]:
         """The pieces of the best sum of scores; of equal ones, the last piece that starts first."""
@@ -155,30 +160,101 @@ class Codec:
             size = start
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        words = SEGMENT.findall(MARK + text.replace(" ", MARK))
-        known = self.kept
-        new = {w for w in words if w not in known}  # a difference with the dict's keys would walk through all of them
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = set(words)
-        known.update((w, self.viterbi(w)) for w in new if len(w) <= KEPT_CHARS)
-        long = {w: self.viterbi(w) for w in new if len(w) > KEPT_CHARS}
-        found = (known[w] if w in known else long[w] for w in words) if long else map(known.__getitem__, words)
-        return np.array(list(chain.from_iterable(found)), np.int32)
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: markers become spaces, the one in front goes, byte pieces are put together as UTF-8."""
-        return b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", errors="replace")[1:]
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of many words: the search of viterbi(), a step for all of them at a time."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        rows, longest = len(words), int(sizes.max(initial=0))
+        data = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(rows, longest).astype(np.int64)
+        base, check, value, scores = self.pieces.base, self.pieces.check, self.pieces.value, self.pieces.scores
+        best = np.full((rows, longest + 1), -np.inf)
+        came, piece_at = np.zeros((rows, longest + 1), np.int64), np.full((rows, longest + 1), -1, np.int64)
+        best[:, 0] = 0.0
+
+        def offer(at: np.ndarray, stop: np.ndarray | int, score: np.ndarray, start: int, piece: np.ndarray | int) -> None:
+            better = score > best[at, stop]
+            at, stop = at[better], stop[better] if isinstance(stop, np.ndarray) else stop
+            best[at, stop], came[at, stop], piece_at[at, stop] = score[better], start, piece[better] if isinstance(piece, np.ndarray) else piece
+
+        for start in range(longest):
+            lead = data[:, start]
+            at = np.flatnonzero((start < sizes) & ((lead & 0xC0) != 0x80))
+            width = np.select([lead[at] < 0x80, lead[at] < 0xE0, lead[at] < 0xF0], [1, 2, 3], 4)
+            here, single, live, node = best[at, start], np.zeros(len(at), bool), np.arange(len(at)), np.zeros(len(at), np.int64)
+            for end in range(start, longest):
+                live_at = at[live]
+                child = base[node] + data[live_at, end] + 1
+                goes = (end < sizes[live_at]) & (check[child] == node)
+                live, node = live[goes], child[goes]
+                if not len(live):
+                    break
+                piece = value[node]
+                whole = piece >= 0
+                done, piece = live[whole], piece[whole]
+                single[done[width[done] == end + 1 - start]] = True
+                offer(at[done], end + 1, here[done] + scores[piece], start, piece)
+            rest = np.flatnonzero(~single)
+            offer(at[rest], start + width[rest], here[rest] + self.unknown_score, start, -1)
+        steps, stop = [], sizes.copy()
+        at = np.flatnonzero(stop > 0)
+        while len(at):
+            start = came[at, stop[at]]
+            steps.append((at, start, stop[at], piece_at[at, stop[at]]))
+            stop[at] = start
+            at = at[start > 0]
+        if not steps:
+            return np.zeros(0, np.int32), np.zeros(rows, np.int64)
+        at, start, stop, piece = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.lexsort((start, at))
+        at, start, stop, piece = at[order], start[order], stop[order], piece[order]
+        own = np.where((piece >= 0) | (not self.byte_ids), 1, stop - start)
+        ids = np.repeat(np.where(piece >= 0, self.pieces.ids[piece], self.unknown_id), own)
+        if self.byte_ids:
+            unknown = np.repeat(piece < 0, own)
+            offset = np.arange(len(ids)) - np.repeat(np.cumsum(own) - own, own)
+            ids[unknown] = self.pieces.byte_ids[data[np.repeat(at, own)[unknown], (np.repeat(start, own) + offset)[unknown]]]
+        return ids.astype(np.int32), np.bincount(at, own, rows).astype(np.int64)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data = [w.encode() for w in words.to_pylist()]
+        lengths = np.array([len(w) for w in data], np.int64)
+        sizes, starts, found, total = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64), [np.zeros(0, np.int32)], 0
+        order = np.argsort(lengths, kind="stable")
+        short = order[lengths[order] <= TOGETHER_BYTES]
+        for part in [*(short[i : i + TOGETHER] for i in range(0, len(short), TOGETHER)), *(order[i : i + 1] for i in range(len(short), len(order)))]:
+            if lengths[part[0]] <= TOGETHER_BYTES:
+                ids, own = self.together([data[i] for i in part])
+            else:
+                ids = np.array(self.viterbi(data[part[0]].decode()), np.int32)
+                own = np.array([len(ids)])
+            sizes[part], starts[part] = own, total + np.cumsum(own) - own
+            found.append(ids)
+            total += len(ids)
+        return gather(np.concatenate(found), starts, sizes), sizes
+
+    def encode(self, source: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts one after the other, and where each text's begin, with the total at last."""
+        words, counts = [], [0]
+        for text in source:
+            words += SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
+            counts.append(len(words))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        ids, sizes = self.kept.runs(coded.dictionary, coded.indices.to_numpy(), self._encode)
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[counts]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids: markers become spaces, the one in front goes, byte pieces are put together as UTF-8."""
+        data = gather(self.surface, self.surface_starts[ids], self.surface_sizes[ids]).tobytes()
+        ends = np.concatenate(([0], np.cumsum(self.surface_sizes[ids])))[offsets].tolist()
+        return [data[a:b].decode("utf-8", errors="replace")[1:] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def encode_decode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """doc_id, ids (array<int>), ids_crc32 (of little-endian 32-bit ids), decoded (string), round_trip (boolean).
 
     Null text is empty and has no ids. A text comes back unchanged unless it holds U+2581
-    itself, which becomes a space. Repeated rows get equal results; other columns aren't read.
+    itself, which becomes a space. Whole texts are encoded, however long. Repeated rows get
+    equal results; other columns aren't read, so they can't clash; an empty table gives no
+    rows. The model's own normalizer isn't applied: models have to come without one.
     """
     codecs: list[Codec] = []
 
@@ -186,12 +262,10 @@ def encode_decode(docs: DataFrame, pieces: Pieces) -> DataFrame:
         if not codecs:
             codecs.append(Codec(pieces))
         codec, source = codecs[0], texts(batch)
-        ids = [codec.encode(t) for t in source]
-        decoded = [codec.decode(x) for x in ids]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ids, offsets = codec.encode(source)
+        decoded = codec.decode(ids, offsets)
         same = [d == t for d, t in zip(decoded, source, strict=True)]
-        crcs = [zlib.crc32(x.astype("<i4").tobytes()) for x in ids]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(crcs, pa.int64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "ids_crc32", "decoded", "round_trip"])
+        crcs = [zlib.crc32(ids[a:b].astype("<i4", copy=False)) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids)), pa.array(crcs, pa.int64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "ids_crc32", "decoded", "round_trip"])
 
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step), "doc_id bigint, ids array<int>, ids_crc32 bigint, decoded string, round_trip boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,54 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
+def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``source`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+class KeptRuns:
+    """The runs of ids of words; those of words that came twice or more in the last slices are kept, KEPT_WORDS of them at most."""
+
+    def __init__(self, kind: type = np.uint32) -> None:
+        self.words = pa.array([], pa.string())
+        self.ids, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def runs(self, words: pa.Array, places: np.ndarray, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the runs of ``words`` at ``places``, one after the other; ``encode`` gives these of words that aren't kept."""
+        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        new = known < 0
+        new_ids, new_sizes = encode(words.filter(pa.array(new)))
+        before = np.cumsum(self.sizes) - self.sizes
+        source = np.concatenate([self.ids, new_ids])
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[~new], sizes[~new] = before[known[~new]], self.sizes[known[~new]]
+        starts[new], sizes[new] = len(self.ids) + np.cumsum(new_sizes) - new_sizes, new_sizes
+        found = gather(source, starts[places], sizes[places]), sizes[places]
+        self._keep(words, np.bincount(places, minlength=len(words)), starts, sizes, source, known[~new], before)
+        return found
+
+    def _keep(self, words: pa.Array, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, source: np.ndarray, used: np.ndarray, before: np.ndarray) -> None:
+        short = pc.less_equal(pc.binary_length(words), KEPT_BYTES).to_numpy(zero_copy_only=False)
+        chosen = np.flatnonzero(short & (counts > 1))
+        if len(chosen) > KEPT_WORDS:
+            chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:KEPT_WORDS]]
+        older = np.ones(len(self.words), bool)
+        older[used] = False
+        older = np.flatnonzero(older)[: KEPT_WORDS - len(chosen)]
+        self.words = pa.concat_arrays([words.take(pa.array(chosen)), self.words.take(pa.array(older))])
+        kept_starts, self.sizes = np.concatenate([starts[chosen], before[older]]), np.concatenate([sizes[chosen], self.sizes[older]])
+        self.ids = gather(source, kept_starts, self.sizes)
+
+
 class WordEncoder:
     """For tokenizers that drop white space: a text's ids are those of its words, one after the other.
 
     Distinct words of a slice are found as Arrow dictionaries, letters A-Z in lower case;
     only those that aren't kept from earlier slices are encoded. Plain words, letters with
     marks behind, are joined to long strings first and cut apart by the tokens that end a
-    word. Kept are the words of the last slices that came twice or more.
+    word.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,8 +94,7 @@ class WordEncoder:
         names = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.words = pa.array([], pa.string())
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.kept = KeptRuns()
 
     def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -98,17 +139,8 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         folded = pc.if_else(pc.match_substring(coded.dictionary, "<|"), coded.dictionary, pc.ascii_lower(coded.dictionary)).dictionary_encode()
         words, places = folded.dictionary, folded.indices.to_numpy()[coded.indices.to_numpy()]
-        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
-        new = known < 0
-        new_ids, new_sizes = self._encode(words.filter(pa.array(new)))
-        kept_starts = np.cumsum(self.sizes) - self.sizes
-        source, base = np.concatenate([self.ids, new_ids]), len(self.ids)
-        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        starts[~new], sizes[~new] = kept_starts[known[~new]], self.sizes[known[~new]]
-        starts[new], sizes[new] = base + np.cumsum(new_sizes) - new_sizes, new_sizes
-        ids = gather(source, starts[places], sizes[places])
-        ends = np.concatenate(([0], np.cumsum(sizes[places])))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        self._keep(words, np.bincount(places, minlength=len(words)), starts, sizes, source, known[~new])
+        ids, sizes = self.kept.runs(words, places, self._encode)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         if end is None:
             return ids, ends
         offsets = ends + np.arange(len(ends))
@@ -118,26 +150,6 @@ class WordEncoder:
         closed[inside] = ids
         return closed, offsets
 
-    def _keep(self, words: pa.Array, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, source: np.ndarray, used: np.ndarray) -> None:
-        short = pc.less_equal(pc.binary_length(words), KEPT_BYTES).to_numpy(zero_copy_only=False)
-        chosen = np.flatnonzero(short & (counts > 1))
-        if len(chosen) > KEPT_WORDS:
-            chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:KEPT_WORDS]]
-        before = np.cumsum(self.sizes) - self.sizes
-        older = np.ones(len(self.words), bool)
-        older[used] = False
-        older = np.flatnonzero(older)[: KEPT_WORDS - len(chosen)]
-        self.words = pa.concat_arrays([words.take(pa.array(chosen)), self.words.take(pa.array(older))])
-        kept_starts, self.sizes = np.concatenate([starts[chosen], before[older]]), np.concatenate([sizes[chosen], self.sizes[older]])
-        self.ids = gather(source, kept_starts, self.sizes)
-
-
-def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs of ``source`` that begin at ``starts``, one after the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-
 
 def encoder(path: str, special: bool = True) -> WordEncoder:
     """The encoder of this worker; without ``special``, the names of special tokens are ordinary text."""

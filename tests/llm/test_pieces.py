@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
@@ -45,7 +48,7 @@ def test_same_as_the_library(pieces, unigram, corpus):
     for text in [r["text"] for r in corpus.limit(30).collect()]:
         for line in text.split("\n"):
             if "  " not in line:
-                assert codec.encode(line).tolist() == unigram.encode(line)
+                assert codec.encode([line])[0].tolist() == unigram.encode(line)
 
 
 def brute(codec, pieces, word):
@@ -79,3 +82,34 @@ def test_round_trip(spark, documents, pieces, corpus):
     marked = encode_decode(documents([(1, "a▁b")]), pieces).first()
     assert not marked["round_trip"] and marked["decoded"] == "a b"
     assert encode_decode(rows.limit(0), pieces).count() == 0
+
+
+def test_words_together_as_one_by_one(pieces, corpus):
+    codec, chance = Codec(pieces), random.Random(3)
+    signs = list("abcerstühß▁.,0-") + ["日", "🎉", "\n", "é", "\x00"]
+    words = ["".join(chance.choice(signs) for _ in range(chance.randint(1, 14))) for _ in range(4000)] + ["▁" * 70, "ab" * 200, "é" * 33, "🎉" * 16, "🎉" * 17]
+    words += [w for r in corpus.limit(50).collect() for w in f"▁{r['text'] or ''}".replace(" ", "▁").split("\n") if w]
+    words = sorted(set(words))
+    ids, sizes = codec._encode(pa.array(words))
+    at = 0
+    for word, n in zip(words, sizes.tolist()):
+        assert tuple(ids[at : at + n].tolist()) == codec.viterbi(word), word
+        at += n
+    assert at == len(ids)
+
+
+def test_kept_words_change_nothing(pieces, monkeypatch):
+    texts = ["one two three one two three", "", "four five four five one", "six seven\nsix seven", "one nine " * 3]
+    want = [Codec(pieces).encode([t])[0].tolist() for t in texts]
+    monkeypatch.setattr("motorlake.llm.vocabulary.KEPT_WORDS", 3)
+    codec = Codec(pieces)
+    for _ in range(2):
+        assert [codec.encode([t])[0].tolist() for t in texts] == want
+        ids, offsets = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want and len(codec.kept.words) <= 3
+        assert codec.decode(ids, offsets) == texts
+
+
+def test_long_text_and_clashing_columns(documents, pieces):
+    rows = documents([(1, "word " * 400_000), (2, "x" * 200_000)]).selectExpr("*", "'own' as ids", "'own' as decoded", "'own' as round_trip")
+    assert [(r["doc_id"], r["round_trip"]) for r in encode_decode(rows, pieces).collect()] == [(1, True), (2, True)]

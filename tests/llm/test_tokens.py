@@ -47,7 +47,7 @@ def test_word_cache_is_bounded(monkeypatch, library):
     enc = WordEncoder(tokenizer_file())
     for text in ("one two three one two three", "four five four five", "six seven eight nine ten " * 2, "one nine " * 3, "one nine ten"):
         assert split(enc.encode(pa.array([text]))) == [library(text)]
-        assert len(enc.words) <= 3
+        assert len(enc.kept.words) <= 3
 
 
 def test_orc(spark, documents, library):
