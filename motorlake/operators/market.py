@@ -7,9 +7,10 @@ guard on kilometres needs the listing itself and comes after.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorlake.functions import tax
@@ -53,11 +54,11 @@ def probes(listings: DataFrame, home: str = "PT") -> DataFrame:
 
 
 def observations(listings: DataFrame, home: str = "PT", since: Column | None = None) -> DataFrame:
-    """Home prices with the identity of the vehicle; ``since`` leaves older ones out."""
+    """Home prices with hashes of the vehicle's identity and of the seller; ``since`` leaves older ones out."""
     rows = listings.where((F.col("country") == home) & F.col("power_hp").isNotNull())
     if since is not None:
         rows = rows.where(F.col("observed_at") > since)
-    return rows.select("id", "model_id", "year", "km", km_band(F.col("km")).alias("km_band"), "price", "power_hp", F.coalesce("seller", "id").alias("seller"), "observed_at", fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")).alias("identity"))
+    return rows.select("id", "model_id", "year", "km", km_band(F.col("km")).alias("km_band"), "price", "power_hp", F.xxhash64(F.coalesce("seller", "id")).alias("seller"), "observed_at", F.xxhash64(fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price"))).alias("identity"))
 
 
 def sample_statistics(keys: DataFrame, seen: DataFrame) -> DataFrame:
@@ -112,22 +113,73 @@ def costed(rows: DataFrame, reference_year: float = 2026.5, tables: tax.TaxTable
     return out.withColumn("verdict", tax.verdict(F.col("savings_pct")))
 
 
-def origin_samples(rows: DataFrame, market: DataFrame, guards: Guards = GUARDS) -> DataFrame:
-    """(id, origin_n, origin_median) of other listings of the same model and country, one for each vehicle at its lowest price.
+#: Kilometres of a sample lie between these shares of the listing's; buckets of their logarithm, of which a sample spans three.
+ORIGIN_KM = (0.6, 1.6)
+BUCKETS = 2 / math.log(1.6 / 0.6)
 
-    The market is first reduced to one row for each vehicle and listing attributes that
-    matter; rows meet it on (model, country, year), years spread, and the rest is a residual
-    condition.
+
+def _km_bucket(km: Column) -> Column:
+    return F.floor(F.log(F.greatest(km, F.lit(1)).cast("double")) * BUCKETS).cast("int")
+
+
+def _power_bucket(power: Column) -> Column:
+    return F.floor(power / 30).cast("int")
+
+
+ORIGIN_KEY = ["model_id", "country", "year", "km", "power_hp"]
+
+
+def origin_samples(rows: DataFrame, market: DataFrame) -> DataFrame:
+    """``rows`` with origin_n and origin_median: the other vehicles of the same model and country in their own market, each at its price.
+
+    A sample is the same for all rows with the same ORIGIN_KEY but for the row itself, so
+    the three prices in the middle are found once for each key; what the median becomes
+    without one price follows from them. The market is first reduced to a row for each
+    vehicle; keys meet it on (model, country, year, buckets of kilometres and power), so a
+    frequent model is dealt out over these. A listing itself doesn't count; another one of
+    the same vehicle does. Rows without power or kilometres have no sample. ``rows`` is
+    read twice, so it had better be a stored table.
     """
-    cells = market.where((F.col("price") > 0) & F.col("power_hp").isNotNull()).select(F.col("id").alias("o_id"), "model_id", "country", F.col("year").alias("see_year"), F.col("km").alias("o_km"), F.col("power_hp").alias("o_power"), F.col("price").alias("o_price"), fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")).alias("o_identity"))
-    looks = rows.select("id", "model_id", "country", "km", "power_hp", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("see_year"))
-    near = (F.col("id") != F.col("o_id")) & F.col("o_km").between(half_up(F.col("km") * 0.6), half_up(F.col("km") * 1.6)) & (F.abs(F.col("o_power") - F.col("power_hp")) <= power_tolerance(F.col("power_hp")))
-    pairs = looks.join(cells, ["model_id", "country", "see_year"]).where(near)
-    vehicles = pairs.groupBy("id", "o_identity").agg(F.min("o_price").alias("o_price"))
-    return vehicles.groupBy("id").agg(F.count("*").alias("origin_n"), half_even_int(F.percentile("o_price", F.lit(0.5))).alias("origin_median"))
-
-
-def plausible(rows: DataFrame, samples: DataFrame, guards: Guards = GUARDS) -> DataFrame:
-    """Drops listings far below their own market; small samples don't speak against a listing."""
-    joined = rows.join(samples, "id", "left")
-    return joined.where((F.coalesce("origin_n", F.lit(0)) < guards.origin_least) | (F.col("price") / F.col("origin_median") >= guards.origin_ratio))
+    vehicle = F.xxhash64(fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")))
+    cells = market.where((F.col("price") > 0) & F.col("power_hp").isNotNull() & F.col("km").isNotNull()).groupBy(*ORIGIN_KEY, "price").agg(F.count("*").alias("n"))
+    rounded = half_up(F.col("km") / 1000) * 1000  # as in the identity, so that a vehicle is in one bucket
+    vehicles = cells.groupBy("model_id", "country", F.col("year").alias("see_year"), _km_bucket(rounded).alias("see_km"), F.col("price").alias("o_price"), vehicle.alias("vehicle")).agg(F.collect_list(F.struct("km", "power_hp", "n")).alias("seen"))
+    low, high = (half_up(F.col("km") * share) for share in ORIGIN_KM)
+    tolerance = power_tolerance(F.col("power_hp"))
+
+    def listed(others: str = "seen") -> Column:
+        """Listings of a vehicle within the limits of a row."""
+        near = lambda v: v["km"].between(low, high) & (F.abs(v["power_hp"] - F.col("power_hp")) <= tolerance)
+        return F.aggregate(F.filter(others, near), F.lit(0).cast("bigint"), lambda n, v: n + v["n"])
+
+    keys = rows.select(*ORIGIN_KEY).where("km is not null and power_hp is not null").distinct()
+    between = lambda a, b, bucket: F.explode(F.sequence(bucket(a), bucket(b)))
+    looks = keys.select("*", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("see_year"))
+    looks = looks.select("*", between(low - 500, high + 500, _km_bucket).alias("see_km"))
+    looks = looks.select("*", between(F.col("power_hp") - tolerance, F.col("power_hp") + tolerance, _power_bucket).alias("see_power"))
+    at_power = vehicles.select("*", F.explode(F.array_distinct(F.transform("seen", lambda v: _power_bucket(v["power_hp"])))).alias("see_power"))
+    met = looks.join(at_power.drop("vehicle"), ["model_id", "country", "see_year", "see_km", "see_power"]).where((listed() > 0) & (F.size("seen") == 1))
+    # vehicles that were listed with several kilometres or powers, and so may be met twice
+    several = looks.drop("see_power").distinct().join(vehicles.where(F.size("seen") > 1), ["model_id", "country", "see_year", "see_km"]).where(listed() > 0)
+    prices = met.select(*ORIGIN_KEY, "o_price").unionByName(several.select(*ORIGIN_KEY, "o_price"))
+    mine = Window.partitionBy(*ORIGIN_KEY)
+    ranked = prices.select("*", F.row_number().over(mine.orderBy("o_price")).alias("place"), F.count("*").over(mine).alias("n"))
+    step = F.col("place") - 1 - F.floor(F.col("n") / 2)
+    middle = {-1: "o_before", 0: "o_middle", 1: "o_after"}
+    samples = ranked.where(step.between(-1, 1)).groupBy(*ORIGIN_KEY).agg(F.max("n").alias("o_n"), *[F.max(F.when(step == i, F.col("o_price"))).alias(name) for i, name in middle.items()])
+    own = vehicles.select("model_id", "country", F.col("see_year").alias("year"), F.col("vehicle").alias("o_vehicle"), F.col("seen").alias("o_seen"))
+    placed = rows.withColumn("o_vehicle", vehicle).join(own, ["model_id", "country", "year", "o_vehicle"], "left").withColumn("o_alone", F.coalesce(listed("o_seen") == 1, F.lit(False)))
+    joined = placed.join(samples, ORIGIN_KEY, "left")
+    mean = lambda a, b: (F.col(a) + F.col(b)) / 2
+    odd = F.col("o_n") % 2 == 1
+    median = F.when(odd, F.col("o_middle")).otherwise(mean("o_before", "o_middle"))
+    price, mid = F.col("price"), F.col("o_middle")
+    without = F.when(odd, F.when(price < mid, mean("o_middle", "o_after")).when(price > mid, mean("o_before", "o_middle")).otherwise(mean("o_before", "o_after"))).otherwise(F.when(price <= F.col("o_before"), mid).otherwise(F.col("o_before")))
+    n = F.coalesce("o_n", F.lit(0).cast("bigint")) - F.col("o_alone").cast("bigint")
+    out = joined.withColumns({"origin_n": n, "origin_median": F.when(n > 0, half_even_int(F.when(F.col("o_alone"), without).otherwise(median)))})
+    return out.select(*rows.columns, "origin_n", "origin_median")
+
+
+def plausible(sampled: DataFrame, guards: Guards = GUARDS) -> Column:
+    """Whether a row of origin_samples() isn't far below its own market; small samples don't speak against a listing."""
+    return (F.col("origin_n") < guards.origin_least) | (F.col("price") / F.col("origin_median") >= guards.origin_ratio)

@@ -9,6 +9,7 @@ from motorlake.functions import tax
 from motorlake.functions.identity import fallback_identity
 from motorlake.operators import market
 from motorlake.plans.registry import query
+from motorlake.session import stored
 from motorlake.sources.tables import LISTINGS_SQL, listings
 
 T = tax.TABLES_2026
@@ -125,19 +126,19 @@ origin AS (SELECT id, count(*) AS origin_n, CAST(round_even(quantile_cont(o_pric
 
 @query(f"WITH {ORIGIN} SELECT v.id, coalesce(origin_n, 0) AS origin_n, origin_median, coalesce(origin_n, 0) < 5 OR price / origin_median >= 0.5 AS plausible FROM verdicts v LEFT JOIN origin USING (id)")
 def origin_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verdicts(spark, sf_dir)
-    samples = market.origin_samples(found, listings(spark, sf_dir))
-    n = F.coalesce("origin_n", F.lit(0).cast("bigint"))
-    return found.join(samples, "id", "left").select("id", n.alias("origin_n"), "origin_median", ((n < 5) | (F.col("price") / F.col("origin_median") >= 0.5)).alias("plausible"))
+    sampled = market.origin_samples(stored(verdicts(spark, sf_dir), "verdicts"), listings(spark, sf_dir))
+    return sampled.select("id", "origin_n", "origin_median", market.plausible(sampled).alias("plausible"))
 
 
 IDENTITY = "model_id || ':' || year || ':' || CAST(round(km / 1000.0) * 1000 AS BIGINT) || ':' || price"
 
 
-@query(f"WITH {SAMPLES} SELECT id, savings, savings_pct FROM (SELECT *, row_number() OVER (PARTITION BY {IDENTITY} ORDER BY savings_pct DESC, id) AS place FROM verdicts WHERE verdict = 'compensa' AND confidence = 'normal') WHERE place = 1")
+@query(f"WITH {ORIGIN} SELECT id, savings, savings_pct FROM (SELECT *, row_number() OVER (PARTITION BY {IDENTITY} ORDER BY savings_pct DESC, id) AS place FROM verdicts v LEFT JOIN origin USING (id) WHERE verdict = 'compensa' AND confidence = 'normal' AND (coalesce(origin_n, 0) < 5 OR price / origin_median >= 0.5)) WHERE place = 1")
 def opportunity_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One listing of each vehicle among the worthwhile ones: the one that saves most."""
-    rows = verdicts(spark, sf_dir).where("verdict = 'compensa' and confidence = 'normal'").withColumn("identity", fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")))
+    """One listing of each vehicle among the worthwhile ones that their own market doesn't speak against: the one that saves most."""
+    worthwhile = verdicts(spark, sf_dir).where("verdict = 'compensa' and confidence = 'normal'")
+    sampled = market.origin_samples(stored(worthwhile, "worthwhile"), listings(spark, sf_dir))
+    rows = sampled.where(market.plausible(sampled)).withColumn("identity", fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")))
     best = Window.partitionBy("identity").orderBy(F.col("savings_pct").desc(), "id")
     return rows.withColumn("place", F.row_number().over(best)).where("place = 1").select("id", "savings", "savings_pct")
 

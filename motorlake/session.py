@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
@@ -38,3 +39,25 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(package, tree, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(f"{folder}/motorlake", "zip", tree.parent))
     context._motorlake_shipped = True
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and all executors see, ``spark.checkpoint.dir``.
+
+    Where the session has none, a temporary folder is made and set, on local masters only.
+    """
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="motorlake-"))
+        known = context.getCheckpointDir()
+    return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: computed once, and its rows outlive executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
