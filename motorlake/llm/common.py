@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorlake.session import shared_path, stored  # noqa: F401  the operators take them from here
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -18,37 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is ``spark.checkpoint.dir``; only where the session has none (tests, a
-    laptop) a temporary folder is made and set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        context = spark.sparkContext
-        known = context.getCheckpointDir()
-        if not known:
-            known = tempfile.mkdtemp(prefix="motorlake-")
-            context.setCheckpointDir(known)
-            known = context.getCheckpointDir()
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here and the rows outlive executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a column expression to a name, so that it is evaluated once however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
