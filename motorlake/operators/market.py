@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ from motorlake.functions.identity import fallback_identity
 from motorlake.functions.semantics import half_even_int, half_up
 
 KEY = ["model_id", "year", "km_band", "power_hp"]
+#: What may narrow a sample further: the years of a generation, and the family and derivative that a listing is known to be of.
+LIMITS = ["gen_start", "gen_end", "family", "derivative"]
+#: Days that an observation counts.
+WINDOW_DAYS = 60
 
 
 @dataclass(frozen=True)
@@ -53,29 +58,39 @@ def probes(listings: DataFrame, home: str = "PT") -> DataFrame:
     return rows.withColumn("km_band", km_band(F.col("km")))
 
 
-def observations(listings: DataFrame, home: str = "PT", since: Column | None = None) -> DataFrame:
-    """Home prices with hashes of the vehicle's identity and of the seller; ``since`` leaves older ones out."""
+def observations(listings: DataFrame, home: str = "PT", since: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Home prices with hashes of the vehicle's identity and of the seller; ``since`` leaves older ones out, ``also`` names columns to carry."""
     rows = listings.where((F.col("country") == home) & F.col("power_hp").isNotNull())
     if since is not None:
         rows = rows.where(F.col("observed_at") > since)
-    return rows.select("id", "model_id", "year", "km", km_band(F.col("km")).alias("km_band"), "price", "power_hp", F.xxhash64(F.coalesce("seller", "id")).alias("seller"), "observed_at", F.xxhash64(fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price"))).alias("identity"))
+    return rows.select("id", "model_id", "year", "km", km_band(F.col("km")).alias("km_band"), "price", "power_hp", F.xxhash64(F.coalesce("seller", "id")).alias("seller"), "observed_at", F.xxhash64(fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price"))).alias("identity"), *also)
 
 
 def sample_statistics(keys: DataFrame, seen: DataFrame) -> DataFrame:
     """Statistics of the samples of each key, within one band and within two (prefix w_).
 
+    Keys may have any of LIMITS besides KEY. Years outside a generation's window don't
+    count; nor do observations that are known (family and derivative of ``seen``) to be of
+    the key's family but of another derivative. What isn't known never excludes.
     Keys are spread over the years and bands that they look at, so the join is on equal
     (model, year, band) and a frequent model is dealt out over these. Of one vehicle's
     observations the latest in the sample counts; ties go to the largest id.
     """
-    spread = keys.select(*KEY, F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("see_year"))
+    key = [*KEY, *(c for c in LIMITS if c in keys.columns)]
+    spread = keys.select(*key, F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("see_year"))
+    for limit, inside in (("gen_start", F.col("see_year") >= F.col("gen_start")), ("gen_end", F.col("see_year") <= F.col("gen_end"))):
+        if limit in key:
+            spread = spread.where(F.coalesce(inside, F.lit(True)))
     spread = spread.select("*", F.explode(F.sequence(F.col("km_band") - 2, F.col("km_band") + 2)).alias("see_band"))
-    other = seen.select(F.col("model_id").alias("o_model"), F.col("year").alias("o_year"), F.col("km_band").alias("o_band"), F.col("power_hp").alias("o_power"), "price", "seller", "km", "identity", "observed_at", "id")
+    other = seen.select(F.col("model_id").alias("o_model"), F.col("year").alias("o_year"), F.col("km_band").alias("o_band"), F.col("power_hp").alias("o_power"), "price", "seller", "km", "identity", "observed_at", "id", *(F.col(c).alias(f"o_{c}") for c in ("family", "derivative") if c in key))
     pairs = spread.join(other, (F.col("model_id") == F.col("o_model")) & (F.col("see_year") == F.col("o_year")) & (F.col("see_band") == F.col("o_band")))
     pairs = pairs.where(F.abs(F.col("o_power") - F.col("power_hp")) <= power_tolerance(F.col("power_hp")))
+    if "derivative" in key:
+        other_body = (F.col("o_family") == F.col("family")) & (F.col("o_derivative") != F.col("derivative"))
+        pairs = pairs.where(~F.coalesce(other_body, F.lit(False)))
     near = F.abs(F.col("see_band") - F.col("km_band")) <= 1
     value, order = F.struct("price", "seller", "km"), F.struct("observed_at", "id")
-    vehicles = pairs.groupBy(*KEY, "identity").agg(F.max_by(value, order).alias("w"), F.max_by(value, F.when(near, order)).alias("p"))
+    vehicles = pairs.groupBy(*key, "identity").agg(F.max_by(value, order).alias("w"), F.max_by(value, F.when(near, order)).alias("p"))
 
     def statistics(side: str, prefix: str) -> list[Column]:
         price, km, seller = F.col(f"{side}.price"), F.col(f"{side}.km"), F.col(f"{side}.seller")
@@ -85,7 +100,7 @@ def sample_statistics(keys: DataFrame, seen: DataFrame) -> DataFrame:
         found |= {"prices": F.size(F.collect_set(price)), "sellers": F.size(F.collect_set(seller))}
         return [v.alias(prefix + k) for k, v in found.items()]
 
-    return vehicles.groupBy(*KEY).agg(*statistics("p", ""), *statistics("w", "w_"))
+    return vehicles.groupBy(*key).agg(*statistics("p", ""), *statistics("w", "w_"))
 
 
 def _coherent(prefix: str, least: int, km: Column, g: Guards) -> Column:
@@ -95,8 +110,11 @@ def _coherent(prefix: str, least: int, km: Column, g: Guards) -> Column:
 
 def home_prices(rows: DataFrame, seen: DataFrame, guards: Guards = GUARDS) -> DataFrame:
     """``rows`` with home_price, sample_size, confidence (normal, alargada or null) and the statistics of both samples."""
-    statistics = sample_statistics(rows.select(*KEY).distinct(), seen)
-    joined = rows.join(statistics, KEY, "left")
+    key = [*KEY, *(c for c in LIMITS if c in rows.columns)]
+    statistics = sample_statistics(rows.select(*key).distinct(), seen)
+    renamed = statistics.withColumnsRenamed({c: f"s_{c}" for c in key})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in key])
+    joined = rows.join(renamed, same, "left").drop(*[f"s_{c}" for c in key])
     normal = F.coalesce(_coherent("", guards.least, F.col("km"), guards), F.lit(False))
     wide = F.coalesce(_coherent("w_", guards.least_wide, F.col("km"), guards) & ((F.col("w_max") - F.col("w_min")) / F.col("w_median") <= guards.wide_range), F.lit(False))
     return joined.withColumns({"confidence": F.when(normal, "normal").when(wide, "alargada"), "home_price": F.when(normal, F.col("median")).when(wide, F.col("w_median")), "sample_size": F.when(normal, F.col("n")).when(wide, F.col("w_n"))})

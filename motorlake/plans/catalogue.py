@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from motorlake.plans import market_queries, page_queries, resolver_queries, search_queries, stream_queries, text_queries, upkeep_queries  # noqa: F401
+from motorlake.plans import estimate_queries, market_queries, page_queries, resolver_queries, search_queries, stream_queries, text_queries, upkeep_queries  # noqa: F401
