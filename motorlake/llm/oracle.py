@@ -22,7 +22,7 @@ def _fails() -> str:
     return " OR ".join(tests)
 
 
-_STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for own in STOP_WORDS.values() for w in own}))
 
 QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
