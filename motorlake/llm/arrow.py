@@ -32,12 +32,12 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def mapper(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def mapper(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that calls ``step`` on slices."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield step(part)
 
     return run

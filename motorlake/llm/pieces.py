@@ -21,8 +21,11 @@ MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words searched side by side, and the longest of them, in bytes; longer ones are searched by themselves.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 13
 TOGETHER_BYTES = 64
+#: Bytes of text in a slice, and ids decoded at once: both bound a worker's memory.
+SLICE = 2 << 20
+DECODED = 1 << 17
 #: A word starts with markers; a line feed is in no piece, so texts fall apart there too.
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
@@ -167,7 +170,7 @@ class Codec:
         data = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(rows, longest).astype(np.int64)
         base, check, value, scores = self.pieces.base, self.pieces.check, self.pieces.value, self.pieces.scores
         best = np.full((rows, longest + 1), -np.inf)
-        came, piece_at = np.zeros((rows, longest + 1), np.int64), np.full((rows, longest + 1), -1, np.int64)
+        came, piece_at = np.zeros((rows, longest + 1), np.int32), np.full((rows, longest + 1), -1, np.int32)
         best[:, 0] = 0.0
 
         def offer(at: np.ndarray, stop: np.ndarray | int, score: np.ndarray, start: int, piece: np.ndarray | int) -> None:
@@ -243,7 +246,8 @@ class Codec:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of ids: markers become spaces, the one in front goes, byte pieces are put together as UTF-8."""
-        data = gather(self.surface, self.surface_starts[ids], self.surface_sizes[ids]).tobytes()
+        parts = (ids[i : i + DECODED] for i in range(0, len(ids), DECODED))
+        data = b"".join(gather(self.surface, self.surface_starts[x], self.surface_sizes[x]).tobytes() for x in parts)
         ends = np.concatenate(([0], np.cumsum(self.surface_sizes[ids])))[offsets].tolist()
         return [data[a:b].decode("utf-8", errors="replace")[1:] for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -268,4 +272,4 @@ def encode_decode(docs: DataFrame, pieces: Pieces) -> DataFrame:
         crcs = [zlib.crc32(ids[a:b].astype("<i4", copy=False)) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids)), pa.array(crcs, pa.int64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "ids_crc32", "decoded", "round_trip"])
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step), "doc_id bigint, ids array<int>, ids_crc32 bigint, decoded string, round_trip boolean")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(mapper(step, limit=SLICE), "doc_id bigint, ids array<int>, ids_crc32 bigint, decoded string, round_trip boolean")
