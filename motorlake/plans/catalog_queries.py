@@ -92,3 +92,51 @@ def pages_with_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).alias("price"))
     extras = part.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_size").cast("double").alias("price"), F.col("p_type").alias("trim"))
     return pages.with_extras(rows, extras, "p_partkey")
+
+
+#: Makes and raw slugs of the catalog, with the family and rule that each has to get.
+NAMED_MODELS = [
+    ("Mercedes-Benz", "C-(W203)-Sportcoupe", "classe-c", "exception"),
+    ("Mercedes-Benz", "GLC-Coupe", "glc", "mb:glc"),
+    ("Mercedes-Benz", "W205-C-Class", "classe-c", "mb:class-c"),
+    ("Mercedes-AMG", "E-W213-Facelift", "classe-e", "mb:class-e"),
+    ("Mercedes-Benz", "W124", "w124", "mb:chassis-only"),
+    ("Mercedes-Benz", "AMG-GT-4-door", "amg-gt", "mb:amg-gt"),
+    ("Mercedes-Benz", "V-Class-2014", "v", "mb:class-v"),
+    ("Mercedes-Benz", "170-V", "170", "mb:fallback"),
+    ("Mini", "F60-Countryman", "countryman", "mini:chassis"),
+    ("Mini", "J01-Hatch-Electric", "mini-cooper", "mini:chassis"),
+    ("BMW", "E46-3-Series", "serie-3", "normmodel:rule"),
+    ("BMW", "E39-LCI-5-Series", "serie-5", "normmodel:rule"),
+    ("Land Rover", "L663-Defender-90", "defender", "normmodel:fallback"),
+    ("VW", "T5-Multivan", "transporter", "vw:transporter"),
+    ("Volkswagen", "Golf-7-Variant", "golf", "normmodel:fallback"),
+    ("Hyundai", "Grand-i10", "grand", "normmodel:fallback"),
+    ("Peugeot", "!!!", None, None),
+    (None, "Golf", None, None),
+]
+#: Raw slugs with the generation key that each has to get.
+KEYED_SLUGS = [("E46-3-Series-Touring", "e46-3-series"), ("Golf-7-Variant-Facelift", "golf-7"), ("Clio-4-5-doors", "clio-4"), ("Sedan", "sedan"), ("LCI-F30-3-Series-Sedan", "f30-3-series"), ("Leon-3-Sportstourer", "leon-3-sportstourer")]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in (i, *row)) + ")" for i, row in enumerate(rows))
+
+
+def _dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """Each part with one of ``rows``, in turn."""
+    cases = F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for v, c in zip(row, columns, strict=True)]) for row in rows])
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(cases, (F.col("p_partkey") % len(rows)).cast("int")).alias("case")).select("p_partkey", "case.*")
+
+
+@query(f"SELECT p_partkey, make, slug, family, rule FROM part JOIN (VALUES {_values(NAMED_MODELS)}) AS n(i, make, slug, family, rule) ON p_partkey % {len(NAMED_MODELS)} = i")
+def catalog_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family of a catalog model, and the rule that gave it."""
+    dealt = _dealt(spark, sf_dir, [row[:2] for row in NAMED_MODELS], ["make", "slug"])
+    return dealt.select("p_partkey", "make", "slug", catalog.family_rule(F.col("make"), F.col("slug")).alias("f")).select("p_partkey", "make", "slug", "f.family", "f.rule")
+
+
+@query(f"SELECT p_partkey, slug, generation FROM part JOIN (VALUES {_values(KEYED_SLUGS)}) AS n(i, slug, generation) ON p_partkey % {len(KEYED_SLUGS)} = i")
+def generation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a slug to tell generations apart."""
+    return _dealt(spark, sf_dir, [row[:1] for row in KEYED_SLUGS], ["slug"]).select("p_partkey", "slug", catalog.generation_key(F.col("slug")).alias("generation"))
