@@ -83,3 +83,34 @@ def clusters(rows: DataFrame, group: str, start: str, gap: int = 2) -> DataFrame
     found = numbered.groupBy(group, "generation").agg(F.min(start).alias("first_start"), F.count("*").alias("starts"))
     after = Window.partitionBy(group).orderBy("generation")
     return found.select(group, "generation", "starts", F.when(F.col("generation") == 0, F.col("first_start") - 1).otherwise(F.col("first_start")).alias("year_start"), (F.lead("first_start").over(after) - 1).alias("year_end"))
+
+
+def kept_fields(old: Column, new: Column, fields: list[str], kept: list[str], keep: Column) -> Column:
+    """The struct ``new`` with the fields ``kept`` of ``old`` where ``keep`` holds and they are known; a missing ``old`` keeps nothing."""
+    held = F.coalesce(keep, F.lit(False))
+    return F.struct(*[(F.when(held, F.coalesce(old[f], new[f])).otherwise(new[f]) if f in kept else new[f]).alias(f) for f in fields])
+
+
+def snapshot(report: DataFrame, by: list[str]) -> DataFrame:
+    """(line): each row of a report as JSON with its columns in alphabetical order, sorted by ``by`` and then by the line: the same rows always give the same bytes."""
+    line = F.to_json(F.struct(*sorted(report.columns)), {"ignoreNullFields": "false"})
+    return report.select(*by, line.alias("line")).orderBy(*by, "line").select("line")
+
+
+def tab_separated(report: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): each row as tab-separated text, unknown values empty, tabs and line ends inside values as spaces."""
+    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]", " ") for c in columns]
+    return report.select(F.concat_ws("\t", *cells).alias("line"))
+
+
+def outbox(matches: DataFrame, sent: DataFrame, base: str) -> DataFrame:
+    """The mails of matches that none was sent for: match_id, recipient, title, subject, address.
+
+    matches: match_id, email, alert, make, model, year, listing_id. Whoever sends them adds
+    their match_id to ``sent`` afterwards, so a mail that fails stays in the outbox and
+    holds up neither others nor the match itself.
+    """
+    title = F.coalesce(F.nullif(F.concat_ws(" ", F.nullif("make", F.lit("")), F.nullif("model", F.lit("")), F.col("year").cast("string")), F.lit("")), F.lit("Anúncio"))
+    due = matches.join(sent.select("match_id").distinct(), "match_id", "left_anti").withColumn("title", title)
+    subject = F.concat(F.lit("Apareceu um "), F.col("title"), F.lit(" que encaixa no teu alerta"))
+    return due.select("match_id", F.col("email").alias("recipient"), "alert", "title", subject.alias("subject"), F.concat(F.lit(f"{base}/anuncio/"), F.col("listing_id").cast("string")).alias("address"))

@@ -168,3 +168,52 @@ def orphan_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings that may have no estimate: the complement of the eligible ones, unknown included."""
     eligible = F.coalesce((F.col("country") != "PT") & (F.col("km") > 6000) & (F.col("price") > 0), F.lit(False))
     return listings(spark, sf_dir).where(~eligible).select("id")
+
+
+@query(
+    """SELECT p_partkey, 22000 + p_size AS price, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 7 <> 0 THEN 21000 END AS cash,
+    CASE WHEN p_partkey % 2 = 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN 'yes' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'new' END END AS checked FROM part"""
+)
+def verified_fields_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records after newer ones: the marks of a verified cash price stay on even parts, those of them that are known; every seventh part is new."""
+    key = F.col("p_partkey")
+    old = F.when(key % 7 != 0, F.struct(F.lit(20000).alias("price"), F.lit(21000).alias("cash"), F.when(key % 5 != 0, "yes").alias("checked")))
+    new = F.struct((F.lit(22000) + F.col("p_size")).alias("price"), F.lit(None).cast("int").alias("cash"), F.when(key % 3 == 0, "new").alias("checked"))
+    merged = upkeep.kept_fields(F.col("old"), F.col("new"), ["price", "cash", "checked"], ["cash", "checked"], key % 2 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", old.alias("old"), new.alias("new")).select("p_partkey", merged.alias("m")).select("p_partkey", "m.*")
+
+
+@query(
+    """WITH counted AS (SELECT n_regionkey AS region, count(*) AS nations, min(n_name) FILTER (n_regionkey <> 2) AS first FROM nation GROUP BY 1)
+    SELECT sha256(string_agg('{"first":' || coalesce('"' || first || '"', 'null') || ',"nations":' || nations || ',"region":' || region || '}', chr(10) ORDER BY region)) AS digest FROM counted"""
+)
+def report_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of a report's snapshot, which only other rows can change."""
+    report = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("nations"), F.min(F.when(F.col("n_regionkey") != 2, F.col("n_name"))).alias("first"))
+    lines = upkeep.snapshot(report, ["region"]).withColumn("place", F.monotonically_increasing_id())
+    # A snapshot is a report of a few rows: here one for each region.
+    listed = lines.agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    return listed.select(F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("digest"))
+
+
+@query("SELECT p_partkey || chr(9) || p_name || chr(9) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'a b' END || chr(9) || p_size AS line FROM part")
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's audit as tab-separated text."""
+    rows = table(spark, sf_dir, "part").withColumn("note", F.when(F.col("p_partkey") % 3 != 0, "a\tb"))
+    return upkeep.tab_separated(rows, ["p_partkey", "p_name", "note", "p_size"])
+
+
+@query(
+    """WITH matches AS (SELECT o_orderkey AS match_id, 'c' || o_custkey || '@example.com' AS recipient, o_orderpriority AS alert, CASE WHEN o_orderkey % 4 = 0 THEN 'Anúncio' WHEN o_orderkey % 4 = 1 THEN 'Make ' || year(o_orderdate) ELSE 'Make Model ' || year(o_orderdate) END AS title, o_orderkey AS listing FROM orders WHERE o_orderkey % 5 <> 0)
+    SELECT match_id, recipient, alert, title, 'Apareceu um ' || title || ' que encaixa no teu alerta' AS subject, 'https://site.example/anuncio/' || listing AS address FROM matches"""
+)
+def alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mails of order matches that weren't sent yet; every fifth was, twice."""
+    orders = table(spark, sf_dir, "orders")
+    key, unnamed = F.col("o_orderkey"), F.col("o_orderkey") % 4 == 0
+    matches = orders.select(
+        key.alias("match_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("email"), F.col("o_orderpriority").alias("alert"),
+        F.when(~unnamed, "Make").alias("make"), F.when(key % 4 == 1, "").when(~unnamed, "Model").alias("model"), F.when(~unnamed, F.year("o_orderdate")).alias("year"), key.alias("listing_id"),
+    )
+    sent = orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("match_id"))
+    return upkeep.outbox(matches, sent.unionAll(sent), "https://site.example")
