@@ -15,10 +15,11 @@ from motorlake.llm.common import WHITE, ascii_lower, fresh, let, stored, text_ha
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: At most so many hashes are dealt out over several ranges each.
-HOT_KEYS = 256
-#: A hash is dealt out further from this share of all lines on.
+#: At most so many hashes are dealt out over several ranges each; any other one has less than this part of all lines.
+HOT_KEYS = 1024
+#: A hash is dealt out further from this share of all lines on, and always from so many lines on, which a task sorts in memory.
 HOT_SHARE = 0.001
+HOT_LINES = 1 << 20
 
 
 def lines_of(text: Column) -> Column:
@@ -35,8 +36,8 @@ def candidate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def hot_hashes(candidates: DataFrame) -> list[int]:
     """Hashes of the most frequent lines, HOT_KEYS at most. A hint for the dealing out only: the result doesn't depend on it."""
-    top = candidates.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {HOT_KEYS}, {HOT_KEYS * 40})").alias("top")).first()
-    return [x["item"] for x in top["top"] or [] if x["count"] > max(MIN_DOCS, HOT_SHARE * top["n"])]
+    top = candidates.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {HOT_KEYS}, {HOT_KEYS * 20})").alias("top")).first()
+    return [x["item"] for x in top["top"] or [] if x["count"] > max(MIN_DOCS, min(HOT_LINES, HOT_SHARE * top["n"]))]
 
 
 def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
