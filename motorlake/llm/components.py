@@ -1,4 +1,10 @@
-"""Connected components of a large graph by alternating large-star and small-star steps."""
+"""Connected components of a large graph by alternating large-star and small-star steps.
+
+A giant component's least node has most edges of the graph. Counting and the least
+neighbour are combined before the shuffle; the join of edges with least neighbours is
+between two stored tables, so that adaptive execution splits such a node's edges over
+several tasks.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     pairs = edges.select("u", "v")
     if both:
         pairs = pairs.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m")), "least")
     joined = pairs.join(least, F.col("u") == F.col("at"))
     if both:
         linked = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

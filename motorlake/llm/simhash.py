@@ -308,6 +308,6 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, also: tuple[str, .
     links = near_links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits)
     groups = components(links).select(F.col("node").alias("fp"), "component")
     placed = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = stored(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")  # a table of its own, so that a large component's rows are split over tasks
     named = placed.select("fp", "component").join(ids, "component").select("fp", "component_id", "component")
     return own.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *also, *(["component"] if also else []))
