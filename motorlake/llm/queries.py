@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlake.llm import decontaminate, flat_tokens, html_blocks, language, orc_tokens, pieces, secrets, simhash
+from motorlake.llm import align, decontaminate, flat_tokens, html_blocks, language, orc_tokens, pieces, secrets, simhash
 from motorlake.llm.common import table
 from motorlake.llm.line_dedup import line_dedup
 from motorlake.llm.oracle import ORACLE_SQL  # noqa: F401  read by the entry
@@ -73,8 +73,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two public vocabularies in each document."""
+    return align.align(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_secret_scans, op3_language_id, op4_token_counts, op5_quality_rules, op6_sentencepiece, op7_simhash, op8_token_orc, op9_html_extraction, op10_decontamination)
+    for f in (op1_line_dedup, op2_secret_scans, op3_language_id, op4_token_counts, op5_quality_rules, op6_sentencepiece, op7_simhash, op8_token_orc, op9_html_extraction, op10_decontamination, op11_token_alignment)
 }
 
