@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlake.llm import align, decontaminate, flat_tokens, html_blocks, language, orc_tokens, pieces, secrets, simhash
+from motorlake.llm import align, decontaminate, flat_tokens, html_blocks, language, neighbours, orc_tokens, pieces, prefix_trie, secrets, simhash
 from motorlake.llm.common import table
 from motorlake.llm.line_dedup import line_dedup
 from motorlake.llm.oracle import ORACLE_SQL  # noqa: F401  read by the entry
@@ -78,8 +78,18 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_documents(spark, sf_dir))
 
 
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows nearest to each vector whose id is divisible by 50."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_secret_scans, op3_language_id, op4_token_counts, op5_quality_rules, op6_sentencepiece, op7_simhash, op8_token_orc, op9_html_extraction, op10_decontamination, op11_token_alignment)
+    for f in (op1_line_dedup, op2_secret_scans, op3_language_id, op4_token_counts, op5_quality_rules, op6_sentencepiece, op7_simhash, op8_token_orc, op9_html_extraction, op10_decontamination, op11_token_alignment, op12_nearest_vectors, op13_prefix_trie)
 }
 
