@@ -7,10 +7,13 @@ guard on kilometres needs the listing itself and comes after.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,20 +134,48 @@ def costed(rows: DataFrame, reference_year: float = 2026.5, tables: tax.TaxTable
     return out.withColumn("verdict", tax.verdict(F.col("savings_pct")))
 
 
-#: Kilometres of a sample lie between these shares of the listing's; buckets of their logarithm, of which a sample spans three.
+#: Kilometres of a sample lie between these shares of the listing's.
 ORIGIN_KM = (0.6, 1.6)
-BUCKETS = 2 / math.log(1.6 / 0.6)
-
-
-def _km_bucket(km: Column) -> Column:
-    return F.floor(F.log(F.greatest(km, F.lit(1)).cast("double")) * BUCKETS).cast("int")
-
-
-def _power_bucket(power: Column) -> Column:
-    return F.floor(power / 30).cast("int")
-
-
+#: Kilometres of the smallest cell of a market; a node of level j spans 2 ** j cells.
+CELL_KM = 1000
+#: A price and how often it occurs are one number, so that lists of them sort by price.
+ONE_PRICE = 1 << 31
 ORIGIN_KEY = ["model_id", "country", "year", "km", "power_hp"]
+ORIGIN_CELL = ["model_id", "country", "see_year", "see_power"]
+
+
+def _with_nodes(looks: DataFrame, low: Column, high: Column) -> DataFrame:
+    """``looks`` with the nodes (level, node) that make up the cells from ``low`` up to but without ``high``: two of each level at most."""
+    ranged = looks.withColumns({"_low": low, "_high": high}).where("_low < _high")
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("_high") - F.col("_low"))).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("level"))
+    spans = ranged.select("*", F.explode(levels).alias("level")).withColumns({"_first": F.ceil(F.col("_low") / width), "_end": F.floor(F.col("_high") / width)}).where("_first < _end")
+    odd = lambda c: F.col(c) % 2 == 1
+    left = spans.where(odd("_first")).withColumn("node", F.col("_first"))
+    right = spans.where(odd("_end")).withColumn("node", F.col("_end") - 1)
+    return left.unionByName(right).drop("_low", "_high", "_first", "_end")
+
+
+MIDDLE = ["o_n", "o_before", "o_middle", "o_after"]
+
+
+def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lists of prices with counts: how many, and the prices before, at and after the place half-way."""
+    for batch in batches:
+        lists = batch.column("prices")
+        values, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        values = values[np.lexsort((values, row))]
+        prices, seen = values // ONE_PRICE, np.cumsum(values % ONE_PRICE)
+        until = np.concatenate([[0], seen])[np.concatenate([[0], np.cumsum(sizes)])]
+        n, start = np.diff(until), until[:-1]
+        found = [n]
+        for step in (-1, 0, 1):
+            place = n // 2 + step
+            there = (place >= 0) & (place < n)
+            at = np.searchsorted(seen, np.where(there, start + place, 0), "right")
+            found.append(pa.array(prices[at], mask=~there))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ORIGIN_KEY), *map(pa.array, found[:1]), *found[1:]], [*ORIGIN_KEY, *MIDDLE])
 
 
 def origin_samples(rows: DataFrame, market: DataFrame) -> DataFrame:
@@ -153,15 +184,16 @@ def origin_samples(rows: DataFrame, market: DataFrame) -> DataFrame:
     A sample is the same for all rows with the same ORIGIN_KEY but for the row itself, so
     the three prices in the middle are found once for each key; what the median becomes
     without one price follows from them. The market is first reduced to a row for each
-    vehicle; keys meet it on (model, country, year, buckets of kilometres and power), so a
-    frequent model is dealt out over these. A listing itself doesn't count; another one of
-    the same vehicle does. Rows without power or kilometres have no sample. ``rows`` is
-    read twice, so it had better be a stored table.
+    vehicle, and these to lists of prices with counts for cells of CELL_KM, and for each
+    doubling of a cell. A sample spans a few such nodes for each of its years and powers;
+    their lists are merged, so that a key reads no vehicle but at the ends of its range,
+    and never more prices than there are different ones. A listing itself doesn't count;
+    another one of the same vehicle does. Rows without power or kilometres have no sample.
+    ``rows`` is read twice, so it had better be a stored table.
     """
     vehicle = F.xxhash64(fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")))
     cells = market.where((F.col("price") > 0) & F.col("power_hp").isNotNull() & F.col("km").isNotNull()).groupBy(*ORIGIN_KEY, "price").agg(F.count("*").alias("n"))
-    rounded = half_up(F.col("km") / 1000) * 1000  # as in the identity, so that a vehicle is in one bucket
-    vehicles = cells.groupBy("model_id", "country", F.col("year").alias("see_year"), _km_bucket(rounded).alias("see_km"), F.col("price").alias("o_price"), vehicle.alias("vehicle")).agg(F.collect_list(F.struct("km", "power_hp", "n")).alias("seen"))
+    vehicles = cells.groupBy("model_id", "country", F.col("year").alias("see_year"), F.col("price").alias("o_price"), vehicle.alias("vehicle")).agg(F.collect_list(F.struct("km", "power_hp", "n")).alias("seen"))
     low, high = (half_up(F.col("km") * share) for share in ORIGIN_KM)
     tolerance = power_tolerance(F.col("power_hp"))
 
@@ -170,21 +202,32 @@ def origin_samples(rows: DataFrame, market: DataFrame) -> DataFrame:
         near = lambda v: v["km"].between(low, high) & (F.abs(v["power_hp"] - F.col("power_hp")) <= tolerance)
         return F.aggregate(F.filter(others, near), F.lit(0).cast("bigint"), lambda n, v: n + v["n"])
 
+    # vehicles that were always listed with the same kilometres and power
+    steady = vehicles.where(F.size("seen") == 1).select("model_id", "country", "see_year", F.col("seen")[0]["power_hp"].alias("see_power"), F.col("seen")[0]["km"].alias("see_km"), "o_price")
+    cell = F.floor(F.col("see_km") / CELL_KM)
+    ends = steady.select(*ORIGIN_CELL, cell.alias("cell"), "see_km", "o_price")
+    widest = F.floor(F.log2(cell / ORIGIN_KM[0] + 2)).cast("int")  # no sample that a vehicle is in has larger nodes
+    levelled = steady.select(*ORIGIN_CELL, "o_price", cell.alias("cell"), F.explode(F.sequence(F.lit(0), widest)).alias("level"))
+    counted = levelled.groupBy(*ORIGIN_CELL, "level", F.floor(F.col("cell") / F.pow(F.lit(2.0), F.col("level"))).alias("node"), "o_price").agg(F.count("*").alias("n"))
+    lists = counted.groupBy(*ORIGIN_CELL, "level", "node").agg(F.collect_list(F.col("o_price").cast("bigint") * ONE_PRICE + F.col("n")).alias("prices"))
+
     keys = rows.select(*ORIGIN_KEY).where("km is not null and power_hp is not null").distinct()
-    between = lambda a, b, bucket: F.explode(F.sequence(bucket(a), bucket(b)))
-    looks = keys.select("*", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("see_year"))
-    looks = looks.select("*", between(low - 500, high + 500, _km_bucket).alias("see_km"))
-    looks = looks.select("*", between(F.col("power_hp") - tolerance, F.col("power_hp") + tolerance, _power_bucket).alias("see_power"))
-    at_power = vehicles.select("*", F.explode(F.array_distinct(F.transform("seen", lambda v: _power_bucket(v["power_hp"])))).alias("see_power"))
-    met = looks.join(at_power.drop("vehicle"), ["model_id", "country", "see_year", "see_km", "see_power"]).where((listed() > 0) & (F.size("seen") == 1))
-    # vehicles that were listed with several kilometres or powers, and so may be met twice
-    several = looks.drop("see_power").distinct().join(vehicles.where(F.size("seen") > 1), ["model_id", "country", "see_year", "see_km"]).where(listed() > 0)
-    prices = met.select(*ORIGIN_KEY, "o_price").unionByName(several.select(*ORIGIN_KEY, "o_price"))
-    mine = Window.partitionBy(*ORIGIN_KEY)
-    ranked = prices.select("*", F.row_number().over(mine.orderBy("o_price")).alias("place"), F.count("*").over(mine).alias("n"))
-    step = F.col("place") - 1 - F.floor(F.col("n") / 2)
-    middle = {-1: "o_before", 0: "o_middle", 1: "o_after"}
-    samples = ranked.where(step.between(-1, 1)).groupBy(*ORIGIN_KEY).agg(F.max("n").alias("o_n"), *[F.max(F.when(step == i, F.col("o_price"))).alias(name) for i, name in middle.items()])
+    powers = steady.select(*ORIGIN_CELL).distinct()
+    years = keys.select("*", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("see_year"))
+    looks = years.join(powers, ["model_id", "country", "see_year"]).where(F.abs(F.col("see_power") - F.col("power_hp")) <= tolerance)
+    first, end = F.ceil(low / CELL_KM), F.floor((high + 1) / CELL_KM)
+    inner = _with_nodes(looks.select(*ORIGIN_KEY, "see_year", "see_power"), first, end)
+    inside = inner.join(lists, [*ORIGIN_CELL, "level", "node"]).select(*ORIGIN_KEY, "prices")
+    outer = F.array_distinct(F.array_compact(F.array(F.when(low % CELL_KM != 0, F.floor(low / CELL_KM)), F.when((high + 1) % CELL_KM != 0, F.floor(high / CELL_KM)))))
+    at_ends = looks.select(*ORIGIN_KEY, "see_year", "see_power", F.explode(outer).alias("cell")).join(ends, [*ORIGIN_CELL, "cell"]).where(F.col("see_km").between(low, high))
+    # others are met as a whole
+    several = years.join(vehicles.where(F.size("seen") > 1), ["model_id", "country", "see_year"]).where(listed() > 0)
+    single = lambda df: df.select(*ORIGIN_KEY, F.array(F.col("o_price").cast("bigint") * ONE_PRICE + 1).alias("prices"))
+    met = inside.unionByName(single(at_ends)).unionByName(single(several))
+    merged = met.groupBy(*ORIGIN_KEY).agg(F.flatten(F.collect_list("prices")).alias("prices"))
+    kinds = dict(merged.dtypes)
+    samples = merged.mapInArrow(_middles, ", ".join([f"{c} {kinds[c]}" for c in ORIGIN_KEY] + [f"{c} bigint" for c in MIDDLE]))
+
     own = vehicles.select("model_id", "country", F.col("see_year").alias("year"), F.col("vehicle").alias("o_vehicle"), F.col("seen").alias("o_seen"))
     placed = rows.withColumn("o_vehicle", vehicle).join(own, ["model_id", "country", "year", "o_vehicle"], "left").withColumn("o_alone", F.coalesce(listed("o_seen") == 1, F.lit(False)))
     joined = placed.join(samples, ORIGIN_KEY, "left")

@@ -48,13 +48,14 @@ class Filters:
         pairs += [("sort", self.sort)] * (self.sort != "savingsPct") + [("page", self.page)] * (self.page != 1)
         return urlencode([(k, v) for k, v in pairs if v not in (None, "")])
 
-    def conditions(self, searched: list[str]) -> Column:
-        """One condition over country, verdict, total_home, year, km, fuel, gearbox and the ``searched`` text columns. Unknown values fit no facet."""
+    def conditions(self, searched: list[str], named: dict[str, str] | None = None) -> Column:
+        """One condition over country, verdict, total_home, year, km, fuel, gearbox and the ``searched`` text columns; ``named`` says which of them have other names. Unknown values fit no facet."""
         tests = [F.lit(True)]
+        column = lambda name: F.col((named or {}).get(name, name))
         tests += [F.col("country").isin(*self.countries)] * bool(self.countries)
         for name, value in (("verdict", self.verdict), ("fuel", self.fuel), ("gearbox", self.gearbox)):
-            tests += [F.col(name) == value] * (value is not None)
-        tests += [F.col("total_home") <= self.max_total] * (self.max_total is not None)
+            tests += [column(name) == value] * (value is not None)
+        tests += [column("total_home") <= self.max_total] * (self.max_total is not None)
         tests += [F.col("year") >= self.min_year] * (self.min_year is not None)
         tests += [F.col("km") <= self.max_km] * (self.max_km is not None)
         body = F.lower(F.concat_ws(" ", *searched))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlake.operators import catalog
+from motorlake.operators import catalog, families
 from motorlake.plans.registry import query
 from motorlake.sources import pages
 from motorlake.sources.tables import table
@@ -133,7 +133,7 @@ def _dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], columns: list[st
 def catalog_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The family of a catalog model, and the rule that gave it."""
     dealt = _dealt(spark, sf_dir, [row[:2] for row in NAMED_MODELS], ["make", "slug"])
-    return dealt.select("p_partkey", "make", "slug", catalog.family_rule(F.col("make"), F.col("slug")).alias("f")).select("p_partkey", "make", "slug", "f.family", "f.rule")
+    return families.with_families(dealt).select("p_partkey", "make", "slug", "family", "rule")
 
 
 @query(f"SELECT p_partkey, slug, generation FROM part JOIN (VALUES {_values(KEYED_SLUGS)}) AS n(i, slug, generation) ON p_partkey % {len(KEYED_SLUGS)} = i")

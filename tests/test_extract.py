@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from motorlake.operators import catalog, resolver, upkeep
+from motorlake.operators import families, resolver, upkeep
 from motorlake.sources import spec_pages, states
 
 
@@ -46,10 +46,10 @@ def test_first_number(spark, text, number):
 def test_unknown_slugs_fail_where_asked(spark):
     known = spark.createDataFrame([("Seat", "Leon")], "make string, slug string")
     unknown = spark.createDataFrame([("Seat", "--")], "make string, slug string")
-    strict = catalog.family_rule(F.col("make"), F.col("slug"), strict=True)["family"]
-    assert known.select(strict).first()[0] == "leon"
+    strict = lambda df: families.with_families(df, strict=True).select("family")
+    assert strict(known).first()[0] == "leon"
     with pytest.raises(Exception, match="no family for Seat/--"):
-        unknown.select(strict).collect()
+        strict(unknown).collect()
 
 
 @pytest.mark.parametrize(("guessed", "model", "tokens", "wrong"), [(True, "Grand i10", ["grand", "santa", "fe"], True), (True, "Grand i10", ["i10", "grand", "x"], False), (False, "Grand i10", [], False), (None, "Grand", [], False), (True, "", None, False), (True, "Grand", None, True)])
