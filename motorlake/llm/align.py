@@ -15,7 +15,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from motorlake.llm.vocabulary import tokenizer_file
 #: Blocks of the count matrix; with 50 257 x 32 000 ids, one has 393 rows and 100 MB at most.
 STRIPES = 128
 #: Bytes of text encoded at once, links combined at once, and cells of a block in one row.
-SLICE = 4 << 20
+SLICE = 2 << 20
 COMBINED = 4 << 20
 CELLS = 1 << 20
 #: The byte-pair library can't take longer runs of white space; the other library encodes such texts.
@@ -67,20 +67,21 @@ class Tokenizers:
     def __init__(self, files: Files) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         import base64
+        import json
 
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(files.entries)
-        self.whole.encode_special_tokens = True
+        self.files = files
         with open(files.ranks, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=files.pieces)
         visible = _visible()
-        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        with open(files.entries, encoding="utf-8") as text:
+            held = json.load(text)
+        vocabulary = held["model"]["vocab"] | {x["content"]: x["id"] for x in held["added_tokens"]}
         self.a = [b""] * (max(vocabulary.values()) + 1)
         for word, i in vocabulary.items():
             self.a[i] = bytes(visible[c] for c in word) if all(c in visible for c in word) else word.encode()
@@ -98,6 +99,15 @@ class Tokenizers:
         """Decimal ids, all of them before each of ``marks``."""
         return np.array([f"{i}{mark}" for mark in marks for i in range(n)], dtype=object)
 
+    @cached_property
+    def whole(self):
+        """Loaded for the first text that the byte-pair library can't take."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.files.entries)
+        out.encode_special_tokens = True
+        return out
+
     def encode_a(self, text: str) -> np.ndarray:
         if LONG_WHITE.search(text):
             return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
