@@ -19,6 +19,8 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+SSH_LONGEST = max(map(len, SSH_NAMES))
+SSH_MARK = b"openssh-key-v1\0"
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE))-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
@@ -82,20 +84,28 @@ def is_der_key(data: bytes) -> bool:
     return bool(leaves & {0x02, 0x06})
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The private key marker, or a known algorithm name in strings whose lengths fill the data."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, first = 0, None
-    while at < len(data):
-        if at + 4 > len(data):
-            return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
+def _fills(data: bytes, at: int, known: dict[int, bool]) -> bool:
+    """Whether strings with their lengths in front fill ``data`` from ``at`` on; ``known`` keeps what is found for each place, so that no place is looked at twice."""
+    way = []
+    while at not in known:
+        if at == len(data):
+            known[at] = True
+            break
+        way.append(at)
+        at += 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
         if at > len(data):
-            return False
-        first = data[4 : 4 + size] if first is None else first
-    return first in SSH_NAMES
+            known[at] = False
+    found = known[at]
+    known.update(dict.fromkeys(way, found))
+    return found
+
+
+def is_ssh_key(data: bytes, at: int = 0, known: dict[int, bool] | None = None) -> bool:
+    """Whether there is, from ``at`` on, the private key marker, or a known algorithm name in strings whose lengths fill the data."""
+    if data.startswith(SSH_MARK, at):
+        return True
+    size = int.from_bytes(data[at : at + 4], "big")
+    return data[at + 4 : at + 4 + size] in SSH_NAMES and _fills(data, at, {} if known is None else known) if size <= SSH_LONGEST else False
 
 
 def is_signed_token(text: str) -> bool:
@@ -138,14 +148,38 @@ def _kind(data: bytes | None) -> str | None:
     return None if not data else "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
-def _fits(text: str) -> bool:
-    """Whether a SEQUENCE that starts here would end with the text; a quick look at its length."""
-    head = unbase64(text[:8]) or b""
+def _ends_with(head: bytes, size: int) -> bool:
+    """Whether a SEQUENCE with this head is ``size`` bytes long."""
     if head[:1] != b"\x30" or len(head) < 6:
-        return head[:1] in (b"\x00", b"o")
-    size, n = head[1], head[1] & 0x7F
-    total = 2 + size if size < 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else 0
-    return total == len(text.rstrip("=")) * 3 // 4
+        return False
+    own, n = head[1], head[1] & 0x7F
+    total = 2 + own if own < 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+    return total == size
+
+
+def _inside(run: str) -> tuple[int, str] | None:
+    """(start, kind) of the first key that begins behind a separator in a run of base64 and ends with it.
+
+    The run is decoded once for each of the four places that a start can have in a group
+    of four characters, and starts are places in these bytes.
+    """
+    decoded: dict[int, bytes | None] = {}
+    known: dict[int, dict[int, bool]] = {}
+    for m in STARTS.finditer(run):
+        start = m.start()
+        phase = start % 4
+        if not start:
+            continue
+        if phase not in decoded:
+            decoded[phase], known[phase] = unbase64(run[phase:]), {}
+        data, at = decoded[phase], (start - phase) // 4 * 3
+        if not data:
+            continue
+        if is_ssh_key(data, at, known[phase]):
+            return start, "ssh"
+        if _ends_with(data[at : at + 6], len(data) - at) and is_der_key(data[at:]):
+            return start, "der"
+    return None
 
 
 def confirmed_spans(text: str) -> list[Span]:
@@ -162,12 +196,8 @@ def confirmed_spans(text: str) -> list[Span]:
     for m in RUN.finditer(text):
         if kind := _kind(unbase64(m[0])):
             found.append((*m.span(), kind))
-            continue
-        for start in STARTS.finditer(m[0]):
-            rest = m[0][start.start() :]
-            if start.start() and _fits(rest) and (kind := _kind(unbase64(rest))):
-                found.append((m.start() + start.start(), m.end(), kind))
-                break
+        elif inner := _inside(m[0]):
+            found.append((m.start() + inner[0], m.end(), inner[1]))
     for m in LONG_HEX.finditer(text):
         if len(m[1]) % 2 == 0 and (kind := _kind(bytes.fromhex(m[1]))):
             found.append((*m.span(), kind))

@@ -1,6 +1,7 @@
 import base64
 import json
 import re
+import time
 
 import pytest
 
@@ -99,3 +100,21 @@ def test_keys_as_they_are_found(text, want):
 def test_clashing_columns(documents):
     rows = documents([(1, "token = abcdefgh")]).selectExpr("*", "'own' as spans", "'own' as n_assign")
     assert [(r["n_assign"], r["spans"]) for r in scan_secrets(rows).collect()] == [(1, "assign:0:16")]
+
+
+def ssh_key(name=b"ssh-rsa"):
+    parts = (name, b"\1\0\1", bytes(range(60)))
+    return base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in parts)).decode()
+
+
+@pytest.mark.parametrize("before", ["x/", "ab/", "abc-", "abcd_", "AAAA/AAAA/", "AAAAB3NzaC1yc2E/"])
+def test_keys_behind_every_place_of_a_group(before):
+    text = f"{before}{ssh_key()} end"
+    assert [text[a:b] for a, b, k in confirmed_spans(text) if k == "ssh"] == [ssh_key()]
+
+
+@pytest.mark.parametrize("run", ["AAAA/" * 200_000, "AAAAB3NzaC1yc2E/" * 60_000, "AAAAAAAA-" * 100_000])
+def test_long_runs_of_starts_take_linear_time(run):
+    began = time.perf_counter()
+    assert confirmed_spans(run) == []
+    assert time.perf_counter() - began < 15
