@@ -89,21 +89,26 @@ class Items:
             for place, w in enumerate(ws.tolist()):
                 bits[w] |= 1 << place
             self.bits.append(dict(bits))
-        self.sections: list[tuple[int, int]] = []  # item, offset
+        self.sections: list[list[tuple[int, int]]] = []  # (item, offset) of all places of each different section
         shares: list[int] = []
         by_length: dict[int, list[int]] = defaultdict(list)
+        numbers: dict[bytes, int] = {}
         for n, ws in enumerate(self.words):
             for offset, size in sections(len(ws)):
-                by_length[size].append(len(self.sections))
-                self.sections.append((n, offset))
-                shares.append(allowed(size, similarity))
+                number = numbers.setdefault(ws[offset : offset + size].tobytes(), len(self.sections))
+                if number == len(self.sections):
+                    by_length[size].append(number)
+                    self.sections.append([])
+                    shares.append(allowed(size, similarity))
+                self.sections[number].append((n, offset))
+        self.places = [self._places(held) for held in self.sections]
         chance = np.random.default_rng(seed)
         longest = 2 * max(by_length, default=1)
         self.odd = chance.integers(1, 1 << 63, (WALKS, longest), np.uint64) | np.uint64(1)
         self.mix = chance.integers(1, 1 << 63, PLACES, np.uint64) | np.uint64(1)
         self.classes = []
         for length, members in sorted(by_length.items()):
-            member_words = np.stack([self.words[n][offset : offset + length] for n, offset in (self.sections[m] for m in members)])
+            member_words = np.stack([self.words[n][offset : offset + length] for n, offset in (self.sections[m][0] for m in members)])
             known = np.zeros(self.unknown + 2, bool)
             known[member_words.ravel()] = True
             samples = [[np.sort(chance.choice(2 * length, min(PLACES, 2 * length), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
@@ -115,6 +120,22 @@ class Items:
                 tables.append((keys[order], np.array(members)[order]))
             self.classes.append((length, known, member_words, spare, samples, tables))
 
+    def _places(self, held: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+        """Of the items that share a section: their numbers, the section's offsets, their sizes and allowed edits."""
+        n, offset = (np.array(x, np.int64) for x in zip(*held, strict=True))
+        return n, offset, np.array([len(self.words[i]) for i in n]), np.array([self.allowed[i] for i in n])
+
+    def possible(self, symbols: np.ndarray, low: int, high: int, section: int, start: int) -> list[tuple[int, int]]:
+        """(item, start) of the items behind a section that the words from ``low`` to ``high`` may hold: a word of an item that isn't there costs an edit."""
+        n, offset, size, allowed_ = self.places[section]
+        if len(n) > 1:
+            there = np.zeros(self.unknown + 2, bool)
+            there[symbols[low:high]] = True
+            missing = np.add.reduceat(~there[np.concatenate([self.words[i] for i in n])], np.cumsum(size) - size, dtype=np.int64)
+            keep = missing <= allowed_
+            n, offset = n[keep], offset[keep]
+        return list(zip(n.tolist(), (start - offset).tolist(), strict=True))
+
     def keys(self, symbols: np.ndarray, starts: np.ndarray, length: int, samples: list) -> list[np.ndarray]:
         """The sample keys of the embedded windows: SAMPLES arrays for each walk."""
         out = []
@@ -182,10 +203,19 @@ class Items:
         symbols += [pad] * max((length for length, *_ in self.classes), default=0)  # so that a window can start at every word
         symbols, bounds = np.array(symbols, np.int64), np.array(bounds)
         regions: dict[tuple[int, int], list[int]] = defaultdict(list)
+        met: dict[tuple[int, int], list[int]] = defaultdict(list)
         for start, section in self.candidates(symbols):
-            document = int(np.searchsorted(bounds, start, "right")) - 1
-            n, offset = self.sections[section]
-            regions[document, n].append(start - offset)
+            met[int(np.searchsorted(bounds, start, "right")) - 1, section].append(start)
+        for (document, section), starts in met.items():
+            _, offset, size, allowed_ = self.places[section]
+            before, behind = int((offset + 2 * allowed_).max()), int((size - offset + 2 * allowed_).max())
+            # starts close to each other share the words around them
+            starts = sorted(set(starts))
+            cuts = [0, *(i for i in range(1, len(starts)) if starts[i] - starts[i - 1] > behind), len(starts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                low, high = max(starts[a] - before, int(bounds[document])), min(starts[b - 1] + behind, int(bounds[document + 1]))
+                for n, at in self.possible(symbols, low, high, section, 0):
+                    regions[document, n] += [at + start for start in starts[a:b]]
         out = []
         for (document, n), starts in sorted(regions.items()):
             size, k = len(self.words[n]), self.allowed[n]

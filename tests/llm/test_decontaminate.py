@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from motorlake.llm.decontaminate import Items, allowed, edits, item_words, leaks, sections
@@ -146,3 +148,30 @@ def test_long_texts_and_clashing_columns(spark, documents):
     rows = documents([(1, "word " * 600_000 + passage + " more" * 600_000), (2, "word " * 600_000)])
     found = leaks(rows.selectExpr("*", "'own' as item_id", "'own' as distance"), bench).collect()
     assert [(r["doc_id"], r["item_id"], r["end_word"]) for r in found] == [(1, 1, 600_012)]
+
+
+def shared(n, rng):
+    """Items with one section of words in common."""
+    word = lambda: f"w{rng.integers(0, 4000)}"
+    head = [word() for _ in range(40)]
+    return head, [(i, " ".join([*head, *(word() for _ in range(40))])) for i in range(n)]
+
+
+def test_sections_that_many_items_share():
+    """A document with the common section alone holds no item; one with an item's own words holds that one, whatever else shares its section."""
+    rng = np.random.default_rng(8)
+    head, rows = shared(1000, rng)
+    items = Items(rows)
+    noise = [f"w{x}" for x in rng.integers(0, 4000, 300)]
+    documents = [[*noise, *head, *noise] for _ in range(30)]
+    began = time.perf_counter()
+    assert items.search(documents) == []
+    assert time.perf_counter() - began < 20
+    whole = rows[17][1].split()
+    edited = [w if i % 8 else "other" for i, w in enumerate(rows[400][1].split())]
+    assert [(d, n) for d, n, _, _ in items.search([[*noise, *whole, *noise], [*noise, *edited], [*head, *whole[40:]], [*head, *noise]])] == [(0, 17), (1, 400), (2, 17)]
+
+
+def test_equal_items_are_all_told():
+    text = " ".join(f"w{i}" for i in range(100))
+    assert [(d, n, e) for d, n, e, _ in Items([(5, text), (6, text), (7, text + " more")]).search([["x", *text.split(), "y"]])] == [(0, 0, 0), (0, 1, 0), (0, 2, 1)]
