@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,7 @@ class Pieces:
         if any("\n" in model.id_to_piece(i) or re.search(f"[^{MARK}]{MARK}", model.id_to_piece(i)) for i in ids):
             raise ValueError("a piece crosses the start of a word or a line")
         trie = DoubleArray([k for k, _ in normal])
+        self.longest = max([4, *(len(k) for k, _ in normal)])  # in bytes; a single character has four at most
         self.base, self.check, self.value = trie.base, trie.check, trie.value
         self.ids = np.array([i for _, i in normal], np.int32)
         self.scores = np.array([model.get_score(i) for _, i in normal], np.float64)
@@ -119,22 +121,31 @@ class Codec:
         self.base, self.check, self.value = pieces.base.tolist(), pieces.check.tolist(), pieces.value.tolist()
         self.ids, self.scores, self.byte_ids = pieces.ids.tolist(), pieces.scores.tolist(), pieces.byte_ids.tolist()
         self.unknown_id = pieces.unknown_id
+        self.longest = pieces.longest
         self.unknown_score = min(self.scores, default=0.0) - UNKNOWN_PENALTY
         self.surface = np.frombuffer(b"".join(pieces.surface), np.uint8)
         self.surface_sizes = np.array([len(x) for x in pieces.surface], np.int64)
         self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
         self.kept = KeptRuns(np.int32)
 
-    def viterbi(self, word: str) -> tuple[int, ...]:
-        """The pieces of the best sum of scores; of equal ones, the last piece that starts first."""
+    def viterbi(self, word: str) -> np.ndarray:
+        """The pieces of the best sum of scores; of equal ones, the last piece that starts first.
+
+        Scores are kept in a ring as long as the longest piece, and of each place only the
+        width and the number of the piece that ends there, so that a text without white
+        space takes a few bytes for each of its own.
+        """
         data, base, check, value, scores = word.encode(), self.base, self.check, self.value, self.scores
-        size = len(data)
-        best: list[float | None] = [None] * (size + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
+        size, ring = len(data), self.longest + 1
+        worst = float("-inf")
+        best = [worst] * ring
+        widths, pieces = array("H", bytes(2 * (size + 1))), array("i", bytes(4 * (size + 1)))
         best[0] = 0.0
         at = 0
-        for char in word:
-            here, width = best[at], len(char.encode())
+        while at < size:
+            lead = data[at]
+            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            here = best[at % ring]
             node, single = 0, False
             for end in range(at, size):
                 child = base[node] + data[end] + 1
@@ -144,24 +155,26 @@ class Codec:
                 if (piece := value[node]) >= 0:
                     score, stop = here + scores[piece], end + 1
                     single = single or stop - at == width
-                    if best[stop] is None or score > best[stop]:
-                        best[stop], back[stop] = score, (at, piece)
+                    if score > best[stop % ring]:
+                        best[stop % ring], widths[stop], pieces[stop] = score, stop - at, piece
             if not single:
                 score, stop = here + self.unknown_score, at + width
-                if best[stop] is None or score > best[stop]:
-                    best[stop], back[stop] = score, (at, -1)
+                if score > best[stop % ring]:
+                    best[stop % ring], widths[stop], pieces[stop] = score, width, -1
+            for passed in range(at, at + width):
+                best[passed % ring] = worst
             at += width
-        out: list[int] = []
-        while size:
-            start, piece = back[size]
+        out, stop = array("i"), size
+        while stop:
+            piece, start = pieces[stop], stop - widths[stop]
             if piece >= 0:
                 out.append(self.ids[piece])
             elif self.byte_ids:
-                out += [self.byte_ids[b] for b in reversed(data[start:size])]
+                out.extend(self.byte_ids[x] for x in reversed(data[start:stop]))
             else:
                 out.append(self.unknown_id)
-            size = start
-        return tuple(reversed(out))
+            stop = start
+        return np.frombuffer(out, np.int32)[::-1].copy()
 
     def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of many words: the search of viterbi(), a step for all of them at a time."""
@@ -227,7 +240,7 @@ class Codec:
             if lengths[part[0]] <= TOGETHER_BYTES:
                 ids, own = self.together([data[i] for i in part])
             else:
-                ids = np.array(self.viterbi(data[part[0]].decode()), np.int32)
+                ids = self.viterbi(data[part[0]].decode())
                 own = np.array([len(ids)])
             sizes[part], starts[part] = own, total + np.cumsum(own) - own
             found.append(ids)
