@@ -98,8 +98,8 @@ def sample_rows(rows: DataFrame) -> DataFrame:
     return specified.drop("power_hp").withColumnsRenamed({"power_used": "power_hp", "derivative_used": "derivative"})
 
 
-def estimate(rows: DataFrame, now: Column, at: Column, days: int = market.WINDOW_DAYS, tables: tax.TaxTables = tax.TABLES_2026) -> DataFrame:
-    """Estimate rows (ESTIMATE, inputs, computed_at) of the eligible ones of ``rows``, all listings of all markets.
+def estimate(rows: DataFrame, now: Column, at: Column, days: int = market.WINDOW_DAYS, tables: tax.TaxTables = tax.TABLES_2026, only: DataFrame | None = None) -> DataFrame:
+    """Estimate rows (ESTIMATE, inputs, computed_at) of the eligible ones of ``rows``, all listings of all markets; ``only`` names (id) those asked for.
 
     Home prices come from the ``days`` before ``now``; taxes hold on the day ``at``, by the
     year and exact age of the registration. Listings without data or a home sample, and
@@ -111,7 +111,10 @@ def estimate(rows: DataFrame, now: Column, at: Column, days: int = market.WINDOW
     held = sample_rows(rows)
     power_known = F.col("power_hp").isNotNull() & ((F.col("fuel") == "elétrico") | F.col("cc_used").isNotNull() & F.col("co2_used").isNotNull())
     seen = market.observations(held.where(F.col("observed_at") <= now), since=F.timestamp_add("DAY", F.lit(-days), now), also=("family", "derivative"))
-    priced = market.home_prices(held.where(eligible(now) & power_known), seen).where("home_price is not null")
+    asked = held.where(eligible(now) & power_known)
+    if only is not None:
+        asked = asked.join(only, "id", "left_semi")
+    priced = market.home_prices(asked, seen).where("home_price is not null")
     sampled = market.origin_samples(priced.withColumn("own_cc", F.col("cc")), rows.where("deleted_at is null"))
     sound = sampled.where(market.plausible(sampled))
     year = F.year("registered_on")

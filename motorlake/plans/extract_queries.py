@@ -89,7 +89,12 @@ def pages_spec_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec_pages.spec_sheet(spec_site(spark, sf_dir), "p_partkey").select("p_partkey", "body", "generation", "doors", "co2_wltp", "co2_nedc", "curb_weight_kg")
 
 
-@query("SELECT * FROM (VALUES ('agregador', 18, 16), ('marketplace', 12, 11), ('particulares', 1, 1), ('rede_stands', 7, 7)) AS s(kind, sources, one_country)")
+KINDS_SQL = ", ".join(f"({i}, '{kind}', {f"'{country}'" if country else 'NULL'})" for i, (_, _, country, kind) in enumerate(seeds.SOURCES))
+
+
+@query(f"SELECT kind, count(*) AS sellers, count(country) AS one_country, count(DISTINCT i) AS sources FROM supplier JOIN (VALUES {KINDS_SQL}) AS s(i, kind, country) ON s_suppkey % {len(seeds.SOURCES)} = i GROUP BY kind")
 def sources_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many sources there are of each kind, and how many of them have one country."""
-    return seeds.sources(spark).groupBy("kind").agg(F.count("*").cast("int").alias("sources"), F.count("country").cast("int").alias("one_country"))
+    """The sellers of each kind of source, those of sources with one country, and the sources, where sellers are dealt out over the sources."""
+    slugs = F.array(*[F.lit(slug) for slug, *_ in seeds.SOURCES])
+    sellers = table(spark, sf_dir, "supplier").select(F.get(slugs, (F.col("s_suppkey") % len(seeds.SOURCES)).cast("int")).alias("slug"))
+    return sellers.join(seeds.sources(spark), "slug").groupBy("kind").agg(F.count("*").alias("sellers"), F.count("country").alias("one_country"), F.count_distinct("slug").alias("sources"))

@@ -127,43 +127,6 @@ def data_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seller", "last_seen", hours.alias("hours"), "n")
 
 
-ALERTS = "alerts AS (SELECT c_custkey AS alert_id, c_nationkey AS stand_id, ['ECONOMY', 'SMALL', 'MEDIUM', 'LARGE', 'PROMO', 'STANDARD'][c_custkey % 6 + 1] AS kind, 24000 + c_custkey % 3000 AS max_price, CASE WHEN c_custkey % 4 = 0 THEN [] ELSE [['DE', 'FR', 'BE', 'NL', 'ES'][c_custkey % 5 + 1]] END AS countries FROM customer WHERE c_custkey % 7 = 0)"
-
-
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An alert for every seventh customer: a kind of part, a highest price, and countries, none meaning all."""
-    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (F.col("c_custkey") % n + 1).cast("int"))
-    countries = F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(pick(["DE", "FR", "BE", "NL", "ES"], 5)))
-    return table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("alert_id"), F.col("c_nationkey").alias("stand_id"), pick(["ECONOMY", "SMALL", "MEDIUM", "LARGE", "PROMO", "STANDARD"], 6).alias("kind"), (F.lit(24000) + F.col("c_custkey") % 3000).alias("max_price"), countries.alias("countries"))
-
-
-MATCHES = f"{SHOWCASE}, {ALERTS}, matches AS (SELECT alert_id, stand_id, id, observed_at, savings FROM alerts JOIN showcase ON kind = split_part(model_id, '|', 1) AND verdict = 'compensa' AND price <= max_price AND (len(countries) = 0 OR list_contains(countries, country)))"
-
-
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each alert with the opportunities that fit; the join is on the kind, the rest a condition."""
-    rows = showcase(spark, sf_dir).where("verdict = 'compensa'").withColumn("kind", F.substring_index("model_id", "|", 1))
-    fits = (F.col("price") <= F.col("max_price")) & ((F.size("countries") == 0) | F.array_contains("countries", F.col("country")))
-    return rows.join(alerts(spark, sf_dir), "kind").where(fits).select("alert_id", "stand_id", "id", "observed_at", "savings")
-
-
-@query(f"WITH {MATCHES} SELECT alert_id, id FROM matches")
-def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, sf_dir).select("alert_id", "id")
-
-
-@query(f"WITH {MATCHES} SELECT alert_id, count(id) AS n, max(observed_at) AS last_match FROM alerts LEFT JOIN matches USING (alert_id) GROUP BY alert_id")
-def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = matches(spark, sf_dir).groupBy("alert_id").agg(F.count("id").alias("n"), F.max("observed_at").alias("last_match"))
-    return alerts(spark, sf_dir).select("alert_id").join(counted, "alert_id", "left").select("alert_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "last_match")
-
-
-@query(f"WITH {MATCHES} SELECT stand_id, alert_id, id, savings FROM matches QUALIFY row_number() OVER (PARTITION BY stand_id ORDER BY observed_at DESC, id, alert_id) <= 8")
-def notifications_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = Window.partitionBy("stand_id").orderBy(F.col("observed_at").desc(), "id", "alert_id")
-    return matches(spark, sf_dir).withColumn("place", F.row_number().over(newest)).where("place <= 8").select("stand_id", "alert_id", "id", "savings")
-
-
 @query(f"WITH {SHOWCASE} SELECT DISTINCT make, split_part(model_id, '|', 1) AS family FROM showcase WHERE verdict = 'compensa'")
 def alert_family_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return showcase(spark, sf_dir).where("verdict = 'compensa'").select("make", F.substring_index("model_id", "|", 1).alias("family")).distinct()

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlake.functions.semantics import half_even_int
-from motorlake.operators import showcase
+from motorlake.functions.text import norm_make
+from motorlake.operators import alerts, showcase
 from motorlake.operators.search import Filters
 from motorlake.plans.estimate_queries import ESTIMATES, NOW, estimate_table, listing_table
 from motorlake.plans.registry import kept, query
@@ -76,7 +77,7 @@ CARDS = f"""{ESTIMATES},
       ELSE concat_ws(' ', make_raw, coalesce(variant, model_raw)) END AS title,
     coalesce('Site ' || s_name, 'site-' || lower(country)) AS source, CASE WHEN order_id % 2 = 0 THEN 'https://img.example/' || order_id || '/640x480.webp' END AS photo,
     CASE WHEN k IS NOT NULL THEN CASE WHEN k % 16 = 0 THEN 'https://v.example/' || k WHEN c % 3 <> 0 THEN 'https://m.example/' || c END WHEN f IS NOT NULL AND c % 3 <> 0 THEN 'https://m.example/' || c END AS catalog_image,
-    total_pt, home_price, confidence, savings, savings_pct, verdict, concat_ws(' ', 'Catalog ' || c, 'Model ' || c || ' (W212)', CASE WHEN k % 8 = 0 THEN 'G16 G15 8 Series ' || k ELSE 'Plain ' || k END, make_raw, model_raw, variant) AS searched FROM c_filled),
+    total_pt, home_price, confidence, savings, savings_pct, verdict, coalesce(make_raw, 'Make') AS make_shown, concat_ws(' ', 'Catalog ' || c, 'Model ' || c || ' (W212)', CASE WHEN k % 8 = 0 THEN 'G16 G15 8 Series ' || k ELSE 'Plain ' || k END, make_raw, model_raw, variant) AS searched FROM c_filled),
   montra AS (SELECT * FROM cards WHERE deleted_at IS NULL AND match_confidence = 'exato' AND confidence = 'normal'
     QUALIFY row_number() OVER (PARTITION BY model_id, year, CAST(round(km / 1000.0) * 1000 AS BIGINT), price ORDER BY savings DESC, id) = 1)"""
 SHOWN = ["id", "title", "country", "year", "km", "price", "total_pt", "savings", "savings_pct", "verdict"]
@@ -128,3 +129,58 @@ def showcase_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = F.count_if(F.col("last_seen_at") > F.expr(f"{NOW} - interval 7 days"))
     median = F.coalesce(half_even_int(F.percentile(F.when(worthwhile, F.col("savings")), F.lit(0.5))), F.lit(0))
     return opened(spark, sf_dir).rows.agg(F.count("*").alias("offers"), F.count_if(worthwhile).alias("worthwhile"), fresh.alias("fresh"), median.alias("median_savings"), F.max("savings").alias("best"))
+
+
+ALERTS = """asked_alerts AS (SELECT c_custkey AS alert_id, c_nationkey AS stand_id, c_custkey % 13 <> 0 AS active, CASE WHEN c_custkey % 11 <> 0 THEN 'brand-' || (c_custkey % 25 + 1) END AS make_key,
+    lower(['ECONOMY', 'SMALL', 'MEDIUM', 'LARGE', 'PROMO', 'STANDARD'][c_custkey % 6 + 1]) AS model_key, CASE WHEN c_custkey % 5 <> 0 THEN 20000 + c_custkey % 7000 END AS max_price,
+    CASE WHEN c_custkey % 4 = 0 THEN [] ELSE [['DE', 'FR', 'BE', 'NL', 'ES'][c_custkey % 5 + 1]] END AS countries FROM customer)"""
+MATCHES = f"""{CARDS}, {ALERTS}, matches AS (SELECT alert_id, stand_id, id, country, total_pt, savings, observed_at AS seen_at FROM asked_alerts JOIN montra ON make_key = lower(replace(make_shown, '#', '-')) AND model_key = lower(split_part(model_id, '|', 1))
+    WHERE active AND verdict = 'compensa' AND (max_price IS NULL OR total_pt <= max_price) AND (len(countries) = 0 OR list_contains(countries, country)))"""
+
+
+def watching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alert for every customer: a third of them with raw makes and models, some without a model, some not active, some without countries or a highest price."""
+    k = F.col("c_custkey")
+    old = k % 3 == 0
+    make, family = F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string")), _pick(["ECONOMY", "SMALL", "MEDIUM", "LARGE", "PROMO", "STANDARD"], k % 6)
+    known = k % 11 != 0
+    raw = table(spark, sf_dir, "customer").select(
+        k.alias("alert_id"), F.col("c_nationkey").alias("stand_id"), (k % 13 != 0).alias("active"), F.when(known & ~old, F.concat(F.lit("brand-"), (k % 25 + 1).cast("string"))).alias("make_key"), F.when(~old, F.lower(family)).alias("model_key"),
+        F.when(known & old, F.upper(make)).alias("make"), F.concat(family, F.lit(" VII")).alias("model"), F.when(k % 5 != 0, k % 7000 + 20000).alias("max_price"),
+        F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(_pick(["DE", "FR", "BE", "NL", "ES"], k % 5))).alias("countries"),
+    )
+    return alerts.watched(raw)
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = F.lower(F.split_part("model_id", F.lit("|"), F.lit(1)))
+    worthwhile = opened(spark, sf_dir).rows.where("verdict = 'compensa'").select("id", norm_make(F.col("make")).alias("make_key"), family.alias("model_key"), "country", "total_pt", "savings", F.col("last_seen_at").alias("seen_at"))
+    return alerts.matches(watching(spark, sf_dir), worthwhile)
+
+
+@query(f"WITH {MATCHES} SELECT alert_id, id FROM matches WHERE (alert_id + total_pt) % 3 <> 0")
+def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is new for every alert, where some of its matches have been told before."""
+    found = _matches(spark, sf_dir)
+    told = found.where((F.col("alert_id") + F.col("total_pt")) % 3 == 0)
+    return alerts.new_matches(found, told).select("alert_id", "id")
+
+
+@query(f"WITH {MATCHES} SELECT alert_id, count(id) AS n, max(seen_at) AS last_match FROM asked_alerts LEFT JOIN matches USING (alert_id) GROUP BY alert_id")
+def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _matches(spark, sf_dir).groupBy("alert_id").agg(F.count("id").alias("n"), F.max("seen_at").alias("last_match"))
+    return watching(spark, sf_dir).select("alert_id").join(counted, "alert_id", "left").select("alert_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "last_match")
+
+
+@query(f"WITH {MATCHES} SELECT stand_id, alert_id, id, savings FROM matches QUALIFY row_number() OVER (PARTITION BY stand_id ORDER BY seen_at DESC, id, alert_id) <= 8")
+def notifications_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.notifications(_matches(spark, sf_dir)).select("stand_id", "alert_id", "id", "savings")
+
+
+@query(f"WITH {MATCHES} SELECT alert_id, id, s_suppkey AS user_id, s_name AS owner_name FROM matches JOIN supplier ON s_nationkey = stand_id AND s_suppkey % 4 = 0")
+def alert_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match with the owners of its stand."""
+    supplier = table(spark, sf_dir, "supplier")
+    members = supplier.select(F.col("s_nationkey").alias("stand_id"), F.col("s_suppkey").alias("user_id"), F.when(F.col("s_suppkey") % 4 == 0, "owner").otherwise("member").alias("role"))
+    users = supplier.select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("name"), F.lit("x@y.example").alias("email"))
+    return alerts.with_owners(_matches(spark, sf_dir), members, users).select("alert_id", "id", "user_id", "owner_name")

@@ -128,14 +128,14 @@ def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERSIONS = "versions AS (SELECT p_partkey AS version_id, p_brand AS make, p_type AS family, 2000 + p_size % 20 AS year_start, 2006 + p_size % 20 AS year_end, 90 + (p_partkey % 12) * 15 AS power_hp FROM part)"
-ADS = "ads AS (SELECT l_orderkey AS ad, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier, p_brand AS make, p_type AS family, 2000 + l_orderkey % 26 AS year, 90 + (l_suppkey % 12) * 15 AS power_hp FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1)"
+ADS = "ads AS (SELECT l_orderkey AS ad, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier, p_brand AS make, p_type AS family, 2000 + l_orderkey % 26 AS year, 90 + (l_suppkey % 12) * 15 AS power_hp FROM lineitem JOIN part ON l_partkey = p_partkey)"
 TIERS = f"WITH {VERSIONS}, {ADS}, grouped AS (SELECT DISTINCT make, family, year, power_hp FROM ads), counted AS (SELECT g.make, g.family, g.year, g.power_hp, count(version_id) AS candidates, min(version_id) AS version_id FROM grouped g LEFT JOIN versions v ON v.make = g.make AND v.family = g.family AND g.year BETWEEN v.year_start AND v.year_end AND abs(v.power_hp - g.power_hp) <= greatest(7, floor(g.power_hp * 0.04 + 0.5)) GROUP BY ALL)"
 
 
 def _ads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = table(spark, sf_dir, "part")
     versions = parts.select(F.col("p_partkey").alias("version_id"), F.col("p_brand").alias("make"), F.col("p_type").alias("family"), (F.lit(2000) + F.col("p_size") % 20).alias("year_start"), (F.lit(2006) + F.col("p_size") % 20).alias("year_end"), (F.lit(90) + F.col("p_partkey") % 12 * 15).alias("power_hp"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return lines.select(F.col("l_orderkey").alias("ad"), F.col("p_brand").alias("make"), F.col("p_type").alias("family"), (F.lit(2000) + F.col("l_orderkey") % 26).alias("year"), (F.lit(90) + F.col("l_suppkey") % 12 * 15).alias("power_hp")), versions
 
 
