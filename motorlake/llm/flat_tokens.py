@@ -145,8 +145,10 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, width: int, block_
     before_file = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = files.select("*", F.coalesce(F.sum("ids").over(before_file), F.lit(0)).alias("id_base"), F.coalesce(F.sum(F.col("ended") + F.col("open")).over(before_file), F.lit(0)).alias("doc_base"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select("file", "block", "ends", F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("carry"), F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs_before"))
-    placed = stitched.where(F.size("ends") > 0).select("file", "carry", "docs_before", F.transform("ends", lambda e: e + F.col("block") * block_ids).alias("at"))
+    # the scan over a file's blocks sees their counts only; the places of ends come back beside them
+    counted = found.select("file", "block", F.size("ends").alias("n"), "last_end")
+    stitched = counted.select("file", "block", "n", F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("carry"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"))
+    placed = stitched.where("n > 0").drop("n").join(found.select("file", "block", "ends"), ["file", "block"]).select("file", "carry", "docs_before", F.transform("ends", lambda e: e + F.col("block") * block_ids).alias("at"))
     placed = _named(placed, width) if named else placed.withColumn("doc_ids", F.lit(None).cast("array<bigint>"))
     spans = placed.select("file", "docs_before", "doc_ids", F.arrays_zip(F.concat(F.array("carry"), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0)))).alias("from"), F.col("at").alias("to")).alias("spans"))
     each = spans.select("file", "docs_before", "doc_ids", F.posexplode("spans").alias("i", "span"))
