@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,14 +72,6 @@ class Block:
     def density(self) -> float:
         return self.link_words / self.words if self.words else 0.0
 
-    def chain(self) -> list[Around]:
-        """The elements around, innermost first."""
-        out, at = [], self.around
-        while at is not None:
-            out.append(at)
-            at = at.parent
-        return out
-
 
 def _tokens(page: str):
     """(kind, value): text, or the inside of a tag; comments, declarations and a tag that is cut off are left out."""
@@ -134,8 +127,14 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool, Around | None]] = []  # name; in a hidden element, in a heading, and what is around, each with the element itself
+    open_names: Counter[str] = Counter()  # of the stack
     links = 0
 
+    def close(to: int) -> None:
+        """Take everything off the stack from place ``to`` on."""
+        open_names.subtract(x[0] for x in stack[to:])
+        del stack[to:]
+
     def flush() -> None:
         text = " ".join("".join(p for p, _ in parts).split())
         if text:
@@ -159,9 +158,11 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if name not in INLINE:
                 flush()
-            if any(x[0] == name for x in stack):
-                while stack and stack.pop()[0] != name:
-                    pass
+            if open_names[name] > 0:
+                at = len(stack) - 1
+                while stack[at][0] != name:
+                    at -= 1
+                close(at)
             continue
         if name == "br":
             parts.append((" ", False))
@@ -176,7 +177,7 @@ def blocks(page: str) -> list[Block]:
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # opening one closes the one before
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in INLINE | {"p"}:
                     break
@@ -189,6 +190,7 @@ def blocks(page: str) -> list[Block]:
             if name in CONTENT or name in FURNITURE or name == "header" or role or marks:
                 around = Around(around, name in CONTENT, name in FURNITURE or role, name == "form", name == "header", marks)
         stack.append((name, bool(hidden or hides), heading or name in HEADINGS, around))
+        open_names[name] += 1
     flush()
     return found
 
@@ -196,20 +198,48 @@ def blocks(page: str) -> list[Block]:
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "header", "marks", "in_content", "outside", "in_other", "heading")
 
 
-def _content(page: list[Block]) -> Around | None:
+def _elements(page: list[Block]) -> list[Around]:
+    """All elements around the page's blocks, each behind the one around it."""
+    seen: set[int] = set()
+    found: list[Around] = []
+    for b in page:
+        way, at = [], b.around
+        while at is not None and id(at) not in seen:
+            seen.add(id(at))
+            way.append(at)
+            at = at.parent
+        found += reversed(way)
+    return found
+
+
+def _content(page: list[Block], elements: list[Around]) -> Around | None:
     """The content element that holds most words of its own; those marked or inside marked ones only where there is no other."""
-    roots: dict[int, tuple[Around, bool]] = {}
+    inner: dict[int, Around | None] = {}  # the innermost content element, the element itself included
+    marked: dict[int, bool] = {}
+    for x in elements:
+        above = id(x.parent)
+        inner[id(x)] = x if x.content else inner.get(above)
+        marked[id(x)] = x.marks == 2 or marked.get(above, False)
+    roots: dict[int, Around] = {}
     for b in page:
-        for i, x in enumerate(chain := b.chain()):
-            x.words += b.words
-            x.blocks += 1
-            if x.content and not any(y.content for y in chain[:i]):
+        if b.around is not None:
+            b.around.words += b.words
+            b.around.blocks += 1
+            if (x := inner[id(b.around)]) is not None:
                 x.own_words += b.words
-                roots.setdefault(id(x), (x, any(y.marks == 2 for y in chain[i:])))
-    open_ = [x for x, marked in roots.values() if not marked] or [x for x, _ in roots.values()]
+                roots.setdefault(id(x), x)
+    for x in reversed(elements):
+        if x.parent is not None:
+            x.parent.words += x.words
+            x.parent.blocks += x.blocks
+    open_ = [x for x in roots.values() if not marked[id(x)]] or list(roots.values())
     return max(open_, key=lambda x: x.own_words, default=None)
 
 
+#: What an element hands down to the blocks in it: furniture, header, other content, marks, inside.
+Told = tuple[bool, bool, bool, int, float]
+
+
 def features(page: list[Block]) -> np.ndarray:
     """A row for each block.
 
@@ -218,30 +248,33 @@ def features(page: list[Block]) -> np.ndarray:
     outside the content element, but not a heading. furniture, header
     and marks come from the elements between the block and the content element; those
     around the content element, and wrappers of most of a page without one, say nothing.
+    Each element adds to what the one around it says, so the time doesn't grow with depth.
     """
-    root = _content(page)
+    elements = _elements(page)
+    root = _content(page, elements)
     beyond = set()
     at = root
     while at is not None:
         beyond.add(id(at))
         at = at.parent
     total = sum(b.words for b in page)
+    nothing: Told = (False, False, False, 0, 0.0)
+    told: dict[int, Told] = {}
+    for x in elements:
+        furniture, header, other, marks, inside = told.get(id(x.parent), nothing)
+        if x is root:
+            told[id(x)] = (False, False, False, 0, 1.0)
+        elif id(x) in beyond:
+            told[id(x)] = (furniture, header, other, marks, max(inside, 0.5 * x.content))
+        elif root is None and (x.form or x.marks and not x.furniture) and x.words > WRAPPER_SHARE * total and x.blocks >= WRAPPER_BLOCKS:
+            told[id(x)] = (furniture, header, other, marks, inside)
+        else:
+            told[id(x)] = (furniture or x.furniture, header or x.header, other or x.content, max(marks, x.marks), inside)
     own = [(b.words, b.density) for b in page]
     around = [(0, 0.0), *own, (0, 0.0)]
     rows = []
     for i, b in enumerate(page):
-        furniture = header = other = False
-        marks, inside = 0, 0.0
-        for x in b.chain():
-            if x is root:
-                inside = 1.0
-                break
-            if id(x) in beyond:
-                inside = max(inside, 0.5 * x.content)
-                continue
-            if root is None and (x.form or x.marks and not x.furniture) and x.words > WRAPPER_SHARE * total and x.blocks >= WRAPPER_BLOCKS:
-                continue
-            furniture, header, other, marks = furniture or x.furniture, header or x.header, other or x.content, max(marks, x.marks)
+        furniture, header, other, marks, inside = nothing if b.around is None else told[id(b.around)]
         rows.append((*own[i], *around[i], *around[i + 2], furniture, header and not inside and not b.heading, marks, inside, root is not None and not inside, other, b.heading))
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 

@@ -1,9 +1,10 @@
 import html as entities
+import time
 
 import numpy as np
 import pytest
 
-from motorlake.llm.html_blocks import blocks, extract, features, kept, main_text, train, trained
+from motorlake.llm.html_blocks import FEATURES, blocks, extract, features, kept, main_text, train, trained
 from motorlake.llm.html_labelled import labelled_pages
 
 TREE = trained()
@@ -93,3 +94,19 @@ def test_tree_on_pages_it_has_not_seen():
 def test_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "own", 7)], "page_id bigint, url string, html string, text string, n_chars int")
     assert [tuple(r) for r in extract(pages).collect()] == [(1, "u", LONG, len(LONG))]
+
+
+@pytest.mark.parametrize("page", ['<div class="menu item">word ' * 20_000, "<div>word </b></section>" * 20_000, "<p>word<li>" * 20_000], ids=["nested", "unopened", "unclosed"])
+def test_deep_nesting_takes_linear_time(page):
+    began = time.perf_counter()
+    found = blocks(page)
+    assert len(features(found)) == len(found) >= 20_000
+    assert time.perf_counter() - began < 10
+
+
+def test_elements_hand_down_what_they_say():
+    page = '<div class="menu"><p>one</p><form><p>two</p></form></div><article><h1>three</h1><div class="related"><p>four five six</p></div></article><p>seven</p>'
+    found = blocks(page)
+    rows = {b.text: dict(zip(FEATURES, f, strict=True)) for b, f in zip(found, features(found).tolist(), strict=True)}
+    assert [rows[t]["in_content"] for t in ("one", "three", "four five six", "seven")] == [0, 1, 1, 0]
+    assert [rows[t]["marks"] for t in ("one", "two", "four five six", "seven")] == [2, 2, 2, 0]
