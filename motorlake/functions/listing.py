@@ -38,7 +38,7 @@ def km_in_text(text: Column) -> Column:
 def capitalised(slug: Column) -> Column:
     """A capital at the start and behind hyphens and spaces."""
     parts = F.split(slug, r"(?<=[-\s])")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
 def family_label(make: Column, model: Column) -> Column:

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlake.plans.registry import query
+from motorlake.session import shared_path
 from motorlake.sources.tables import table
 from motorlake.streaming import watch
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='motorlake-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
@@ -37,7 +30,7 @@ def stream_new_vs_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        at = _scratch(spark)
+        at = shared_path(spark, "stream")
         found = watch.drain(watch.watch(_records(_events(spark, sf_dir))), f"{at}/out", f"{at}/state")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
@@ -51,7 +44,7 @@ def batch_new_vs_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT user_id || event_type) AS keys FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _scratch(spark)
+    at = shared_path(spark, "stream")
     first = watch.once(_events(spark, sf_dir).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), ["user_id", "event_type"], delay="60 days")
     return watch.drain(first, f"{at}/out", f"{at}/state").agg(F.count("*").alias("keys"))
 

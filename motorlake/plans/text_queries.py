@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlake.functions import text
 from motorlake.functions.identity import VIN_IN_URL, car_identity
 from motorlake.functions.semantics import capture
+from motorlake.operators import aliases
 from motorlake.plans.registry import query
 from motorlake.sources.tables import table
 
@@ -78,15 +79,24 @@ def contado_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.cash_price(said, price).alias("cash"))
 
 
-@query(
-    "WITH names AS (SELECT DISTINCT p_type AS name FROM part), near AS (SELECT a.name, b.name AS nearest, levenshtein(a.name, b.name) AS distance, row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name) AS place FROM names a JOIN names b ON a.name <> b.name AND substr(a.name, 1, 1) = substr(b.name, 1, 1)) SELECT name, nearest, CAST(distance AS INTEGER) AS distance FROM near WHERE place = 1"
-)
+NAMES_SQL = "names AS (SELECT DISTINCT p_brand AS block, p_type || ' ' || p_name AS name FROM part)"
+
+
+@query(f"WITH {NAMES_SQL} SELECT a.block, a.name, b.name AS nearest, levenshtein(a.name, b.name)::INTEGER AS distance FROM names a JOIN names b ON a.block = b.block AND a.name <> b.name QUALIFY row_number() OVER (PARTITION BY a.block, a.name ORDER BY levenshtein(a.name, b.name), b.name) = 1")
 def levenshtein_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other name with the same initial, which is the join key."""
-    names = table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct().withColumn("initial", F.substring("name", 1, 1))
-    other = names.select(F.col("name").alias("nearest"), "initial")
-    best = Window.partitionBy("name").orderBy("distance", "nearest")
-    return names.join(other, "initial").where("name <> nearest").withColumn("distance", F.levenshtein("name", "nearest")).withColumn("place", F.row_number().over(best)).where("place = 1").select("name", "nearest", "distance")
+    """The nearest other name of the same brand, through names that are equal without a few characters."""
+    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("block"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
+    return aliases.nearest_names(names, names)
+
+
+@query(f"""WITH listed AS (SELECT p_brand AS block, p_type || ' ' || p_name AS name, count(*) AS listings FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), known AS (SELECT DISTINCT p_brand AS block, p_type || ' ' || p_name AS name FROM part WHERE p_size % 9 = 0 AND p_brand <> 'Brand#7'),
+missing AS (SELECT * FROM listed ANTI JOIN known USING (block, name))
+SELECT m.block, m.name, listings, k.name AS nearest, levenshtein(m.name, k.name)::INTEGER AS distance FROM missing m LEFT JOIN known k ON k.block = m.block QUALIFY row_number() OVER (PARTITION BY m.block, m.name ORDER BY levenshtein(m.name, k.name), k.name) = 1""")
+def alias_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of listings that a catalog of some sizes doesn't have, with the nearest one of the brand that it does."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_brand").alias("block"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey")
+    return aliases.alias_gap(lines.join(part, F.col("l_partkey") == F.col("p_partkey")), part.where("p_size % 9 = 0 and block <> 'Brand#7'"))
 
 
 @query(

@@ -23,7 +23,7 @@ def source_name(file_name: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str, glob: str = "*.ndjson") -> DataFrame:
-    """All records with _file, _source and _bad; batch files sort before event logs of the same source."""
+    """All records with _file, _source, _offset and _bad, in no order; sort by _source and _file where batch files have to come before event logs."""
     rows = spark.read.schema(SCHEMA).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", glob).json(path)
     return rows.withColumns({"_file": F.col("_metadata.file_name"), "_source": source_name(F.col("_metadata.file_name")), "_offset": F.col("_metadata.file_block_start")})
 
