@@ -12,6 +12,15 @@ from motorlake.functions.text import norm_fuel, norm_gearbox, norm_key, norm_mak
 SPECS = ("cc", "co2", "power_hp")
 
 
+#: What the keys of a listing are read from.
+RAW = ["make_raw", "model_raw", "fuel_raw", "variant", "co2"]
+
+
+def alike(listings: DataFrame) -> DataFrame:
+    """(RAW, times): what listings say of make, model and fuel, and how many say just that; keys then cost once for each."""
+    return listings.groupBy(*RAW).agg(F.count("*").alias("times"))
+
+
 def keyed(listings: DataFrame) -> DataFrame:
     """``listings`` (make_raw, model_raw, fuel_raw, variant, co2, ...) with make_key, model_key, fuel_key and norm_key; norm_key is null where one of the three is."""
     make = norm_make(F.col("make_raw"))
@@ -20,8 +29,9 @@ def keyed(listings: DataFrame) -> DataFrame:
 
 
 def upserted_models(keyed_listings: DataFrame, models: DataFrame) -> DataFrame:
-    """Canonical models (norm_key, make, model, fuel, listings, is_new) after the links: all of ``models`` (norm_key, make, model, fuel), and one for each new key."""
-    found = keyed_listings.where("norm_key is not null").groupBy("norm_key").agg(F.min("make_key").alias("_make"), F.min("model_key").alias("_model"), F.min("fuel_key").alias("_fuel"), F.count("*").alias("listings"))
+    """Canonical models (norm_key, make, model, fuel, listings, is_new) after the links: all of ``models`` (norm_key, make, model, fuel), and one for each new key. Listings that are alike() count ``times``."""
+    times = F.sum("times") if "times" in keyed_listings.columns else F.count("*")
+    found = keyed_listings.where("norm_key is not null").groupBy("norm_key").agg(F.min("make_key").alias("_make"), F.min("model_key").alias("_model"), F.min("fuel_key").alias("_fuel"), times.alias("listings"))
     joined = models.withColumn("_held", F.lit(True)).join(found, "norm_key", "full_outer")
     known = lambda c: F.when(F.col("_held"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
     return joined.select("norm_key", known("make"), known("model"), known("fuel"), F.coalesce("listings", F.lit(0).cast("bigint")).alias("listings"), F.col("_held").isNull().alias("is_new"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlake.operators import matching
-from motorlake.plans.estimate_queries import listing_table
+from motorlake.plans.estimate_queries import full
 from motorlake.plans.registry import query
 from motorlake.sources.tables import DETAILED_SQL, table
 
@@ -16,7 +16,7 @@ FUELS = ["Benzin", "Diesel", "Hybrid", "Elektro", "GPL", None]
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("order_id")
     pick = lambda values: F.get(F.array(*map(F.lit, values)), (o % len(values)).cast("int"))
-    return listing_table(spark, sf_dir).withColumns({"make_raw": F.col("make"), "model_raw": F.split_part("model_id", F.lit("|"), F.lit(1)), "variant": F.col("title"), "fuel_raw": pick(FUELS), "gearbox": pick(["DSG", "Schaltgetriebe", "semi-automatic", None]), "gearbox_norm": pick(["auto", "manual", None])})
+    return full(spark, sf_dir).withColumns({"make_raw": F.col("make"), "model_raw": F.split_part("model_id", F.lit("|"), F.lit(1)), "variant": F.col("title"), "fuel_raw": pick(FUELS), "gearbox": pick(["DSG", "Schaltgetriebe", "semi-automatic", None]), "gearbox_norm": pick(["auto", "manual", None])})
 
 
 @query(
@@ -29,7 +29,7 @@ def model_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical models after the links of all listings, where those with diesel were there before."""
     make, model = F.translate(F.lower("p_brand"), "#", "-"), F.lower("p_type")
     held = table(spark, sf_dir, "part").select(F.concat_ws("|", make, model, F.lit("diesel")).alias("norm_key"), make.alias("make"), model.alias("model"), F.lit("diesel").alias("fuel")).distinct()
-    return matching.upserted_models(matching.keyed(_raw(spark, sf_dir)), held)
+    return matching.upserted_models(matching.keyed(matching.alike(_raw(spark, sf_dir))), held)
 
 
 MEDIANS = ", ".join(f"CAST(round_even(quantile_cont({c}, 0.5), 0) AS INTEGER) AS m_{c}" for c in matching.SPECS)
@@ -42,7 +42,7 @@ MEDIANS = ", ".join(f"CAST(round_even(quantile_cont({c}, 0.5), 0) AS INTEGER) AS
 )
 def models_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical models with the medians of their living listings in place of what they lack."""
-    rows = listing_table(spark, sf_dir)
+    rows = full(spark, sf_dir)
     n = F.col("n")
     models = rows.groupBy("model_id").agg(F.count("*").alias("n")).select("model_id", F.when(n % 2 == 0, 1111).alias("cc"), F.when(n % 3 != 0, 99).alias("co2"), F.when((n % 6).isin(2, 4), 77).alias("power_hp"))
     return matching.filled_models(models, rows)

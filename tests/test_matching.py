@@ -30,3 +30,13 @@ def test_a_second_run_writes_nothing(spark):
     assert sorted((r["id"], r["gearbox_norm"]) for r in writes.collect()) == [(1, "auto"), (3, None)]
     after = rows.join(writes.withColumnRenamed("gearbox_norm", "new").withColumn("hit", F.lit(True)), "id", "left").withColumn("gearbox_norm", F.when(F.col("hit"), F.col("new")).otherwise(F.col("gearbox_norm")))
     assert matching.gearbox_writes(after).count() == 0
+
+
+def test_keys_are_read_once_for_what_is_alike(spark):
+    """Models and counts are those of every listing by itself, though alike listings are keyed as one."""
+    said = [("BMW", "320d", "Diesel", None, 120), ("BMW", "320d", "Diesel", None, 120), ("bmw", "320d", "diesel", None, None), (None, "x", "Diesel", None, 1)]
+    listings = spark.createDataFrame(said, "make_raw string, model_raw string, fuel_raw string, variant string, co2 int")
+    held = spark.createDataFrame([("a|b|diesel", "a", "b", "diesel")], "norm_key string, make string, model string, fuel string")
+    models = lambda rows: sorted(map(tuple, matching.upserted_models(matching.keyed(rows), held).collect()))
+    assert matching.alike(listings).count() == 3
+    assert models(matching.alike(listings)) == models(listings)
