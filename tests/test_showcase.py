@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,20 @@ def test_alerts(spark):
     earlier = spark.createDataFrame([(1, "a"), (2, "zzz")], "alert_id int, id string")
     assert sorted((r["alert_id"], r["id"]) for r in alerts.new_matches(found, earlier).collect()) == [(1, "b"), (2, "a"), (5, "b"), (6, "c")]
     assert sorted((r["stand_id"], r["id"], r["place"]) for r in alerts.notifications(found, 1).collect()) == [(1, "b", 1), (2, "b", 1), (3, "c", 1)]
+
+
+def test_sources_there_several_times(spark, small, tmp_path):
+    """The stored showcase has the representatives of all cards, without a row of each card for every copy of its source on the way."""
+    from motorlake.plans import showcase_queries
+
+    for path in Path(small).glob("*.parquet"):
+        (tmp_path / path.name).symlink_to(path)
+    (tmp_path / "supplier.parquet").unlink()
+    once = spark.read.parquet(f"{small}/supplier.parquet")
+    once.unionByName(once.withColumn("s_suppkey", F.col("s_suppkey") + 10**6)).write.parquet(f"{tmp_path}/supplier.parquet")
+    cards, shown = showcase_queries.cards(spark, str(tmp_path)), showcase_queries.shown(spark, str(tmp_path))
+    assert cards.count() > cards.select("id").distinct().count()
+    chosen = showcase.representatives(cards).select("id", "title.value", "source", "savings")
+    assert sorted(map(tuple, shown.select("id", "title.value", "source", "savings").collect()), key=str) == sorted(map(tuple, chosen.collect()), key=str)
+    told = showcase_queries.kept(spark, str(tmp_path), "shown", lambda: shown)
+    assert showcase_queries.opened(spark, str(tmp_path)).rows.count() == told.count() == shown.select("id").distinct().count() > 0
