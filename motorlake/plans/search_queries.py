@@ -29,7 +29,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign listings against the median home price of their model."""
     rows = listings(spark, sf_dir)
     home = rows.where("country = 'PT'").groupBy("model_id").agg(half_even_int(F.percentile("price", F.lit(0.5))).alias("home_price"))
-    foreign = rows.where("country <> 'PT'").join(home, "model_id")
+    foreign = rows.where("country <> 'PT'").join(F.broadcast(home), "model_id")  # a row for each model, as many as types and kinds of parts
     parts = tax.registration_tax(F.col("fuel"), F.col("cc"), F.col("co2"), F.col("year"), F.lit(2026.5) - F.col("year"))
     gearbox = F.when(F.col("order_id") % 3 == 0, "manual").when(F.col("order_id") % 3 == 1, "auto")
     out = foreign.withColumns({"isv": parts["isv"], "iuc": tax.annual_tax(F.col("fuel"), F.col("cc"), F.col("co2"), F.col("year")), "gearbox": gearbox})

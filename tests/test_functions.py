@@ -138,3 +138,14 @@ def test_territory(spark):
 
 def test_badges(spark):
     assert sorted(of(spark, text.strong_badges, "320d", "xDrive 45 GTI")) == ["320d", "xdrive45"]
+
+
+def test_vehicles_are_dealt_out_before_they_are_sorted(spark):
+    """The sort of representatives() runs in parts of a shuffle, never in parts of the input, which can be much larger."""
+    from motorlake.operators import search
+
+    rows = spark.range(0, 1000, 1, 2).select("id", (F.col("id") % 10).alias("savings_pct"), (F.col("id") % 7).cast("string").alias("vehicle"))
+    chosen = search.representatives(rows, F.col("vehicle"))
+    below = chosen._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning(_identity")[2]
+    assert below and "Sort [" not in below and "WindowGroupLimit" not in below
+    assert sorted(r["id"] for r in chosen.collect()) == [9, 19, 29, 39, 49, 59, 69]
