@@ -143,3 +143,11 @@ def test_sources_there_several_times(spark, small, tmp_path):
     assert sorted(map(tuple, shown.select("id", "title.value", "source", "savings").collect()), key=str) == sorted(map(tuple, chosen.collect()), key=str)
     told = showcase_queries.kept(spark, str(tmp_path), "shown", lambda: shown)
     assert showcase_queries.opened(spark, str(tmp_path)).rows.count() == told.count() == shown.select("id").distinct().count() > 0
+
+
+def test_what_derives_from_a_listing_is_not_stored_or_shuffled(spark, small):
+    from motorlake.plans import estimate_queries, showcase_queries
+
+    assert not {"detail_url", "facts", "version", "region"} & set(estimate_queries.stored_listings(spark, small).columns)
+    plan = showcase_queries.shown(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (id#") == 1 and "LeftSemi" not in plan
