@@ -145,6 +145,16 @@ def test_sources_there_several_times(spark, small, tmp_path):
     assert showcase_queries.opened(spark, str(tmp_path)).rows.count() == told.count() == shown.select("id").distinct().count() > 0
 
 
+def test_counts_of_matches_without_their_pairs(spark):
+    index = "alert_id int, stand_id int, active boolean, make_key string, model_key string, countries array<string>, max_price int"
+    watched = spark.createDataFrame([(i, i % 3, i % 7 != 0, None if i % 11 == 0 else "vw", "golf" if i % 2 else "polo", [None, [], ["DE"], ["FR", "FR", "DE"], ["ES", "*"]][i % 5], None if i % 4 == 0 else 90 + i) for i in range(120)], index)
+    offers = spark.createDataFrame([(str(i), "vw", "golf" if i % 3 else "polo", ["DE", "FR", None][i % 3 - i % 2], None if i % 13 == 0 else 80 + i * 7 % 120, i, None if i % 5 == 0 else i * 31 % 97) for i in range(90)], "id string, make_key string, model_key string, country string, total_pt int, savings int, seen_at int")
+    pairs = alerts.matches(watched, offers).groupBy("alert_id").agg(F.count("id").alias("n"), F.max("seen_at").alias("last_match"))
+    counted = alerts.match_counts(watched, offers)
+    assert sorted(map(tuple, counted.select("alert_id", "n", "last_match").collect())) == sorted(map(tuple, pairs.collect())) != []
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_what_derives_from_a_listing_is_not_stored_or_shuffled(spark, small):
     from motorlake.plans import estimate_queries, showcase_queries
 
