@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motorlake.functions import listing
-from motorlake.operators import feeds
+from motorlake.functions.identity import fallback_identity
+from motorlake.operators import feeds, search
 from motorlake.plans.registry import query
 from motorlake.plans.search_queries import SHOWCASE, offers, showcase
 from motorlake.session import shared_path, stored
 from motorlake.sources import ndjson
 from motorlake.sources.tables import DETAILED_SQL, LISTINGS_SQL, detailed, listings, table
 
+#: What tells vehicles apart.
+VEHICLE = ["model_id", "year", "km", "price"]
 SEGMENTS = "list_filter(string_split(regexp_extract(detail_url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), '/'), lambda s: s <> '')"
 
 
@@ -179,8 +182,10 @@ def showcase_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SHOWCASE} SELECT id FROM offers WHERE savings_pct >= 5 AND id NOT IN (SELECT id FROM showcase WHERE verdict = 'compensa')")
 def no_longer_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers once flagged, at a lower mark, that aren't among the worthwhile ones of today."""
-    kept = stored(offers(spark, sf_dir).where("savings_pct >= 5"), "offers")
-    return kept.select("id").join(showcase(spark, sf_dir).where("verdict = 'compensa'").select("id"), "id", "left_anti")
+    kept = stored(offers(spark, sf_dir).where("savings_pct >= 5").select("id", *VEHICLE, "savings_pct", "verdict"), "offers")
+    # a vehicle's best offer is worthwhile only if it is among those at the lower mark, so the showcase of these has the same worthwhile ones
+    winners = search.representatives(kept, fallback_identity(*map(F.col, VEHICLE))).where("verdict = 'compensa'")
+    return kept.select("id").join(winners.select("id"), "id", "left_anti")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT o_orderkey, CAST(o_custkey % 7 + 1 AS INTEGER) FROM orders)")

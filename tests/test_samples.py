@@ -79,3 +79,22 @@ def test_origin_samples_are_those_of_all_pairs(spark):
         assert (got.origin_n, got.origin_median) == (len(best), int(np.rint(np.median(list(best.values())))) if best else None), got
         seen += bool(best)
     assert seen > 50
+
+
+def test_earlier_winners_cost_offers_once(spark, small, monkeypatch):
+    from motorlake.plans import listing_queries, search_queries
+
+    want = {r["id"] for r in search_queries.offers(spark, small).where("savings_pct >= 5").collect()} - {r["id"] for r in search_queries.showcase(spark, small).where("verdict = 'compensa'").collect()}
+    calls = []
+    for module in (listing_queries, search_queries):
+        monkeypatch.setattr(module, "offers", lambda *a, made=search_queries.offers: calls.append(a) or made(*a))
+    assert {r["id"] for r in listing_queries.no_longer_winners(spark, small).collect()} == want != set()
+    assert len(calls) == 1
+
+
+def test_method_limit_is_set_and_taken_back(spark):
+    from motorlake.session import LIMIT, limit_methods
+
+    for limited, want in ((True, "8000"), (True, "8000"), (False, "65535"), (False, "65535")):
+        limit_methods(spark, limited)
+        assert spark.conf.get(LIMIT) == want
