@@ -10,6 +10,11 @@ from motorlake.sources import pages, seeds, spec_pages, states
 from motorlake.sources.tables import table
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, dealt out: a page takes far longer to read than its part, and a file of parts, however many, is short enough for one task."""
+    return table(spark, sf_dir, "part").repartition("p_partkey")
+
+
 def pointer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each part whose payload lists two vehicles that share their name; every fifth page has none."""
     number = lambda c: c.cast("string")
@@ -19,7 +24,7 @@ def pointer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(","), number(F.col("p_size")), F.lit(","), number(key + 1), F.lit(',null,["Date","2024-05-01T00:00:00Z"],{"id":11,"name":9,"price":12,"since":13}]'),
     )
     html = F.concat(F.lit('<html><script type="application/json" id="__NUXT_DATA__" data-ssr="true">'), payload, F.lit("</script></html>"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(key % 5 == 0, "<html></html>").otherwise(html).alias("html"))
+    return parts(spark, sf_dir).select("p_partkey", F.when(key % 5 == 0, "<html></html>").otherwise(html).alias("html"))
 
 
 @query(
@@ -40,7 +45,7 @@ def component_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     literal = lambda c: F.concat(F.lit('<script>self.__next_f.push([1,"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))
     whole = F.concat(F.lit("{"), mine, other, again, F.lit("}"))
     html = F.concat(F.lit("<html><script>self.__next_f.push([0])</script>"), literal(F.left(whole, F.lit(40))), literal(F.substring(whole, 41, 60)), literal(F.substring(whole, 101, 100000)), F.lit("</html>"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", html.alias("html"))
+    return parts(spark, sf_dir).select("p_partkey", "p_retailprice", html.alias("html"))
 
 
 CARDS_SQL = """cards AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS card, p_type AS "sourceName", NULL::BIGINT AS laytime, NULL::BIGINT AS saves, true AS private, 4 AS rating, 'https://i.example/a"b.jpg' AS image, 'site.example' AS site, CAST(p_partkey AS VARCHAR) AS site_id FROM part
@@ -71,7 +76,7 @@ def spec_site(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<table><tr><td class="tabletd" align="right">Body :</td><td class="tabletd_right">'), F.col("p_type"), F.lit('</td></tr><tr><td class="tabletd">Num. of Doors :</td><td class="tabletd_right">5</td></tr><tr><td class="tabletd">Generation</td><td class="tabletd_right">-</td></tr>'),
         F.lit('<tr><td class="tabletd">CO2 emissions WLTP :</td><td class="tabletd_right">'), F.col("p_size"), F.lit(',5 g/km</td></tr><tr><td class="tabletd">CO2 emissions :</td><td class="tabletd_right">99 g/km (combined)</td></tr><tr><td class="tabletd">Curb Weight :</td><td class="tabletd_right"><i>1234</i> kg</td></tr></table>'),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+    return parts(spark, sf_dir).select("p_partkey", html.alias("html"))
 
 
 @query(

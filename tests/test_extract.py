@@ -62,3 +62,12 @@ def test_snapshots_don_t_depend_on_order(spark):
     rows = [("b", 1, None), ("a", 2, "x"), ("a", 1, "x")]
     lines = lambda r: [x["line"] for x in upkeep.snapshot(spark.createDataFrame(r, "k string, n int, t string"), ["k"]).collect()]
     assert lines(rows) == lines(rows[::-1]) == ['{"k":"a","n":1,"t":"x"}', '{"k":"a","n":2,"t":"x"}', '{"k":"b","n":1,"t":null}']
+
+
+def test_pages_of_one_file_are_read_by_several_tasks(spark, tmp_path):
+    from motorlake.plans import extract_queries
+
+    parts = spark.range(400_000).selectExpr("id AS p_partkey", "sha2(string(id), 256) AS p_name", "'Brand#1' AS p_brand", "sha2(string(-id), 256) AS p_type", "1 AS p_size", "1.0D AS p_retailprice")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for pages in (extract_queries.spec_site, extract_queries.pointer_pages, extract_queries.component_pages):
+        assert pages(spark, str(tmp_path)).select("html").rdd.getNumPartitions() > 1
