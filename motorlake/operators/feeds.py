@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from motorlake.sources import ndjson
 
 
+#: Lines of a file, at most.
+FILE_LINES = 1_000_000
+
+
 def append_lines(lines: DataFrame, path: str) -> None:
-    """Append (line, source) to the logs in ``path``, a folder for each source; earlier files stay as they are."""
-    lines.write.mode("append").partitionBy("source").text(path)
+    """Append (line, source) to the logs in ``path``, a folder for each source; earlier files stay as they are.
+
+    Files are compressed. As one can only be read from its start, none has more than
+    FILE_LINES lines.
+    """
+    lines.write.mode("append").partitionBy("source").option("maxRecordsPerFile", FILE_LINES).text(path, compression="gzip")
 
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:

@@ -71,3 +71,16 @@ def test_pages_of_one_file_are_read_by_several_tasks(spark, tmp_path):
     parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for pages in (extract_queries.spec_site, extract_queries.pointer_pages, extract_queries.component_pages):
         assert pages(spark, str(tmp_path)).select("html").rdd.getNumPartitions() > 1
+
+
+def test_logs_are_compressed_and_files_bounded(spark, tmp_path, monkeypatch):
+    from motorlake.operators import feeds
+
+    monkeypatch.setattr(feeds, "FILE_LINES", 40, raising=False)
+    lines = spark.range(0, 100, 1, 1).selectExpr("""concat('{"id":"', id, '"}') AS line""", "'cars-de' AS source")
+    for source in ("cars-de", "cars-de-events"):
+        feeds.append_lines(lines.withColumn("source", F.lit(source)), str(tmp_path))
+    files = sorted(tmp_path.glob("source=*/*.gz"))
+    assert len(files) == 6
+    counted = feeds.line_counts(feeds.read_folders(spark, str(tmp_path))).first()
+    assert (counted["source"], counted["lines"], counted["bad"]) == ("cars-de", 200, 0)
