@@ -4,40 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "key string, kind string, price double, first_seen timestamp, last_seen timestamp"
-STATE = "price double, first_seen timestamp, last_seen timestamp"
+OUT = "key string, kind string, price double, first_seen bigint, last_seen bigint"
+STATE = "price double, first_seen bigint, last_seen bigint"
 
 
 class PriceWatch(StatefulProcessor):
     """Emits ``new`` for an unknown key and ``price_change`` for another price; otherwise only moves last_seen.
 
-    Records of a batch are taken in order of event time, so a late record with an old time
-    never overwrites a newer price; it moves nothing.
+    Records of a batch are taken in order of event time (microseconds), so a late record
+    with an old time never overwrites a newer price; it moves nothing. An unknown price
+    differs from none. The state is asked and told once for a key and batch.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("listing", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.state.get()
         price, first, last = known if known else (None, None, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "price"]).itertuples():
-            if known is None and first is None:
-                price, first, last = r.price, r.ts, r.ts
-                out.append((key[0], "new", price, first, last))
-            elif r.ts >= last:
-                changed, last = r.price != price, r.ts
+        seen = known is not None
+        for r in sorted(rows, key=lambda r: (r.ts is None, r.ts or 0, r.price is None, r.price or 0.0)):
+            if not seen:
+                seen, price, first, last = True, r.price, r.ts, r.ts
+                yield Row(key=key[0], kind="new", price=price, first_seen=first, last_seen=last)
+            elif r.ts is not None and (last is None or r.ts >= last):
+                changed, price, last = None not in (r.price, price) and r.price != price, r.price, r.ts
                 if changed:
-                    price = r.price
-                    out.append((key[0], "price_change", price, first, last))
+                    yield Row(key=key[0], kind="price_change", price=price, first_seen=first, last_seen=last)
         self.state.update((price, first, last))
-        yield pd.DataFrame(out, columns=["key", "kind", "price", "first_seen", "last_seen"])
 
     def close(self) -> None:
         pass
@@ -45,7 +43,9 @@ class PriceWatch(StatefulProcessor):
 
 def watch(records: DataFrame) -> DataFrame:
     """(key, price, ts) as a stream to the changes in it; needs the RocksDB state store."""
-    return records.groupBy("key").transformWithStateInPandas(PriceWatch(), outputStructType=OUT, outputMode="append", timeMode="none")
+    timed = records.select("key", "price", F.unix_micros("ts").alias("ts"))
+    found = timed.groupBy("key").transformWithState(PriceWatch(), outputStructType=OUT, outputMode="append", timeMode="none")
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("first_seen", "last_seen")})
 
 
 def changes_in_batch(records: DataFrame) -> DataFrame:
