@@ -30,5 +30,5 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     """A table that many queries read, as a pipeline run would have stored it: made once for an application, a folder and a name, in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = stored(make(), name)
+        _kept[key] = stored(make(), name, compression="zstd")
     return _kept[key]
