@@ -184,7 +184,7 @@ def no_longer_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers once flagged, at a lower mark, that aren't among the worthwhile ones of today."""
     kept = stored(offers(spark, sf_dir).where("savings_pct >= 5").select("id", *VEHICLE, "savings_pct", "verdict"), "offers", compression="zstd")
     # a vehicle's best offer is worthwhile only if it is among those at the lower mark, so the showcase of these has the same worthwhile ones
-    winners = search.representatives(kept, fallback_identity(*map(F.col, VEHICLE))).where("verdict = 'compensa'")
+    winners = search.representatives(kept, fallback_identity(*map(F.col, VEHICLE)), kept.count()).where("verdict = 'compensa'")
     return kept.select("id").join(winners.select("id"), "id", "left_anti")
 
 

@@ -39,7 +39,9 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def showcase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.representatives(offers(spark, sf_dir), fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")))
+    """The offers' representatives; offers are no more than order lines, whose number is in the files' footers."""
+    most = table(spark, sf_dir, "lineitem").count()
+    return search.representatives(offers(spark, sf_dir), fallback_identity(F.col("model_id"), F.col("year"), F.col("km"), F.col("price")), most)
 
 
 ROW = ["id", "model_id", "country", "year", "km", "price", "total_home", "savings", "savings_pct", "verdict"]

@@ -149,3 +149,17 @@ def test_vehicles_are_dealt_out_before_they_are_sorted(spark):
     below = chosen._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning(_identity")[2]
     assert below and "Sort [" not in below and "WindowGroupLimit" not in below
     assert sorted(r["id"] for r in chosen.collect()) == [9, 19, 29, 39, 49, 59, 69]
+
+
+def test_parts_of_vehicles_are_as_many_as_the_rows_need(spark, small, monkeypatch):
+    """Where tables grow, a task of representatives() sorts no more rows; parts are more, up to a limit, and the result is the same."""
+    from motorlake.operators import search
+    from motorlake.plans import search_queries
+
+    rows = spark.range(0, 1000, 1, 2).select("id", (F.col("id") % 10).alias("savings_pct"), (F.col("id") % 7).cast("string").alias("vehicle"))
+    monkeypatch.setattr(search, "PART_ROWS", 100)
+    parts = lambda most: search.representatives(rows, F.col("vehicle"), most).rdd.getNumPartitions()
+    assert [parts(n) for n in (0, 100, 901, 1000, 10**6)] == [1, 1, 10, 10, search.MOST_PARTS]
+    assert sorted(r["id"] for r in search.representatives(rows, F.col("vehicle"), 1000).collect()) == [9, 19, 29, 39, 49, 59, 69]
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert search_queries.showcase(spark, small).rdd.getNumPartitions() == min(-(-lines // 100), search.MOST_PARTS) > int(spark.conf.get("spark.sql.shuffle.partitions"))
