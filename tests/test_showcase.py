@@ -161,3 +161,30 @@ def test_what_derives_from_a_listing_is_not_stored_or_shuffled(spark, small):
     assert not {"detail_url", "facts", "version", "region"} & set(estimate_queries.stored_listings(spark, small).columns)
     plan = showcase_queries.shown(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner, (id#") == 1 and "LeftSemi" not in plan
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_owners_meet_matches_in_the_tasks_of_the_alerts(spark, small, monkeypatch):
+    """However short the table of alerts and however few the stands, matches and their owners come from many tasks."""
+    from motorlake.plans import showcase_queries
+
+    whole = Counter(map(tuple, showcase_queries.alert_owners(spark, small).collect()))
+    monkeypatch.setattr(alerts, "PART_ALERTS", 10, raising=False)
+    owned = showcase_queries.alert_owners(spark, small)
+    assert "hashpartitioning(stand_id#" not in executed(owned)
+    assert owned.rdd.getNumPartitions() == -(-spark.read.parquet(f"{small}/customer.parquet").count() // 10) > 4
+    assert Counter(map(tuple, owned.collect())) == whole
+
+
+def test_raw_names_of_alerts_are_resolved_once_for_each_pair(spark):
+    made = "alert_id int, make_key string, model_key string, make string, model string"
+    rows = [(i, "vw" if i % 5 == 0 else None, "golf" if i % 10 == 0 else None, ["VW", "BMW", None][i % 3], ["Golf VII", "320d", None, ""][i % 4]) for i in range(600)]
+    watched = alerts.watched(spark.createDataFrame(rows, made))
+    got = {r["alert_id"]: (r["make_key"], r["model_key"]) for r in watched.collect()}
+    assert len(got) == watched.count() == 600 and watched.columns == ["alert_id", "make_key", "model_key", "make", "model"]
+    assert [got[i] for i in (0, 3, 13, 8, 12)] == [("vw", "golf"), (None, None), ("bmw", "serie-3"), (None, None), ("volkswagen", "golf")]
+    plan = watched._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_make#" in plan and "translate" not in plan[: plan.index("Join LeftOuter")]
