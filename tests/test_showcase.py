@@ -188,3 +188,33 @@ def test_raw_names_of_alerts_are_resolved_once_for_each_pair(spark):
     assert [got[i] for i in (0, 3, 13, 8, 12)] == [("vw", "golf"), (None, None), ("bmw", "serie-3"), (None, None), ("volkswagen", "golf")]
     plan = watched._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [_make#" in plan and "translate" not in plan[: plan.index("Join LeftOuter")]
+
+
+def test_new_matches_are_not_shuffled(spark, small, monkeypatch):
+    from motorlake.plans import showcase_queries
+
+    monkeypatch.setattr(alerts, "PART_ALERTS", 10, raising=False)
+    fresh = showcase_queries.alert_matches(spark, small)
+    assert "Exchange hashpartitioning(alert_id#" in executed(fresh)
+    assert not [x for x in executed(fresh).splitlines() if "hashpartitioning(alert_id#" in x and ", id#" in x]
+    want = Counter(map(tuple, fresh.collect()))
+    told = [r for r in showcase_queries._matches(spark, small).collect() if (r["alert_id"] + r["total_pt"]) % 3 != 0]
+    assert want == Counter((r["alert_id"], r["id"]) for r in told)
+    monkeypatch.setattr(showcase_queries, "SENT_OFFERS", 0, raising=False)
+    monkeypatch.setattr(alerts, "PART_ALERTS", 7, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sorted_ones = showcase_queries.alert_matches(spark, small)
+        assert Counter(map(tuple, sorted_ones.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_new_matches_are_those_that_an_anti_join_leaves(spark):
+    found = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (1, "b", 5), (2, "a", 6), (2, None, 7), (None, "a", 8), (3, "c", None)], "alert_id int, id string, savings int")
+    earlier = spark.createDataFrame([("b", 1), ("b", 1), ("zzz", 2), (None, 2), ("a", None), ("c", 4)], "id string, alert_id int")
+    want = Counter(map(tuple, found.join(earlier, ["alert_id", "id"], "left_anti").select(*found.columns).collect()))
+    for found, earlier in ((found, earlier), (alerts.dealt(found, 9), alerts.dealt(earlier, 9))):
+        fresh = alerts.new_matches(found, earlier)
+        assert fresh.columns == found.columns and Counter(map(tuple, fresh.collect())) == want
